@@ -86,9 +86,13 @@ def canonical_cell(prefix: str = "") -> Column:
 
 
 def explode_slots(responses: DataFrame, *carry: str) -> DataFrame:
-    """Row form to long form: one row per (response, question); no shuffle."""
+    """Row form to long form: one row per (response, question); no shuffle.
+
+    The outer explode keeps Spark from adding a ``size(answers) > 0`` filter, which would
+    evaluate the expression behind ``answers`` a second time.
+    """
     base = [c for c in ("form_id", "response_id", "submitted_at", *carry) if c in responses.columns]
-    return responses.select(*base, F.explode("answers").alias("s")).select(
+    return responses.select(*base, F.explode_outer("answers").alias("s")).where(F.col("s").isNotNull()).select(
         *base, *[F.col(f"s.{name}").alias(name) for name in SLOT_FIELDS]
     )
 

@@ -58,7 +58,8 @@ def question_facts(slots: DataFrame, score_map: DataFrame | None = None) -> Data
         ).otherwise(F.array()),
     )
     return (
-        rows.select("form_id", "question_id", F.explode(facts).alias("f"))
+        rows.select("form_id", "question_id", F.explode_outer(facts).alias("f"))
+        .where(F.col("f").isNotNull())
         .groupBy("form_id", "question_id", F.col("f.fact").alias("fact"), F.col("f.key").alias("key"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -152,7 +153,8 @@ def group_hits(responses: DataFrame, members: DataFrame) -> DataFrame:
         lambda v: v["member"].isNotNull(),
     )
     return (
-        responses.select("form_id", "response_id", checks.alias("checks"), F.explode(values).alias("v"))
+        responses.select("form_id", "response_id", checks.alias("checks"), F.explode_outer(values).alias("v"))
+        .where(F.col("v").isNotNull())
         .select("form_id", "response_id", "checks", "v.question_id", "v.member")
         .join(group_members(members), ["form_id", "question_id", "member"])
     )
@@ -194,7 +196,8 @@ def conditional_metrics(responses: DataFrame, members: DataFrame, options: DataF
     )
     counts = (
         group_hits(responses, members)
-        .select("form_id", "group_id", F.explode(facts).alias("f"))
+        .select("form_id", "group_id", F.explode_outer(facts).alias("f"))
+        .where(F.col("f").isNotNull())
         .groupBy("form_id", "group_id", "f.question_id", "f.option_key")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -171,7 +171,7 @@ def routing_violations(responses: DataFrame, index: DataFrame) -> DataFrame:
     """Answered questions that lie in a section the answers route around."""
     rows = with_marks(responses, index)
     bad = F.filter("steps", lambda s: F.array_contains("not_reached_ords", s["at"]))
-    return rows.select("form_id", "response_id", F.explode(bad).alias("s")).select(
+    return rows.select("form_id", "response_id", F.explode_outer(bad).alias("s")).where(F.col("s").isNotNull()).select(
         "form_id", "response_id", F.col("s.question_id").alias("question_id")
     )
 

@@ -195,7 +195,7 @@ def _paths(spark, sf_dir):
  FROM path p JOIN verdict v ON v.response_id = p.response_id""")
 def path_resolution(spark, sf_dir):
     return _paths(spark, sf_dir).select(
-        "form_id", "response_id", "confidence", F.inline("path")
+        "form_id", "response_id", "confidence", F.inline_outer("path")
     )
 
 

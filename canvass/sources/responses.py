@@ -73,15 +73,13 @@ def parse_responses(raw: DataFrame, json_column: str = "payload") -> DataFrame:
     )
 
 
-def _typed(entry: Column) -> Column:
-    """One typed slot and the error that kept the answer out, if any."""
-    spec, texts, keys = entry["spec"], entry["texts"], entry["keys"]
-    first = F.get(texts, F.lit(0))
+def _picked(entry: Column) -> Column:
+    """The entry with one pick per text: matched option, else the sole Other option."""
+    spec = entry["spec"]
     hits = F.transform(
-        F.arrays_zip(texts.alias("raw"), keys.alias("key")),
+        F.arrays_zip(entry["texts"].alias("raw"), entry["keys"].alias("key")),
         lambda t: F.struct(t["raw"].alias("raw"), F.element_at(spec["by_label"], t["key"]).alias("hit")),
     )
-    kind = spec["kind"]
     picks = F.transform(
         hits,
         lambda h: F.struct(
@@ -92,7 +90,17 @@ def _typed(entry: Column) -> Column:
             (F.coalesce(h["hit"]["n"], F.lit(1)) > 1).alias("ambiguous"),
         ),
     )
-    pick = F.get(picks, F.lit(0))
+    is_choice = spec["kind"].isin("single_choice", "multi_choice")
+    return F.struct(
+        entry["question_id"].alias("question_id"), entry["texts"].alias("texts"), entry["files"].alias("files"),
+        spec.alias("spec"), F.when(is_choice, picks).alias("picks"),
+    )
+
+
+def _typed(entry: Column) -> Column:
+    """One typed slot and the error that kept the answer out, if any."""
+    spec, texts, picks = entry["spec"], entry["texts"], entry["picks"]
+    first, pick, kind = F.get(texts, F.lit(0)), F.get(picks, F.lit(0)), spec["kind"]
     option_keys = F.transform(picks, lambda p: p["option_key"])
     other_values = F.filter(F.transform(picks, lambda p: p["other_value"]), lambda v: v.isNotNull())
     choice_error = (
@@ -176,7 +184,7 @@ def type_answers(parsed: DataFrame, index: DataFrame) -> DataFrame:
             F.slice("flat_keys", F.get("starts", i) + 1, F.size(F.get("choice_texts", i))).alias("keys"),
         ),
     )
-    rows = rows.withColumn("typed", F.transform(keyed, _typed))
+    rows = rows.withColumn("picked", F.transform(keyed, _picked)).withColumn("typed", F.transform("picked", _typed))
     return rows.select(
         "form_id", "response_id", "submitted_at",
         F.transform(F.filter("typed", lambda t: t["error"].isNull()), lambda t: t["slot"]).alias("answers"),
