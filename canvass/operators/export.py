@@ -124,24 +124,24 @@ def csv_quoted(text: Column) -> Column:
     return F.when(text.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def export_table(
-    cells: DataFrame, headers: DataFrame, form_id: str, *, keep_origin: bool = True
-) -> DataFrame:
-    """The wide export of one form, one typed column per question in form order.
+def header_map(headers: DataFrame, form_id: str) -> dict[str | None, str]:
+    """question id -> header of one form, in form order; None is the submission time column."""
+    rows = headers.where(F.col("form_id") == form_id).orderBy("ord").select("question_id", "header").collect()
+    return {r["question_id"]: r["header"] for r in rows}
 
-    Rows come in (submitted_at, response_id) order. The origin of each row stays in the table;
+
+def export_table(cells: DataFrame, titles: dict[str | None, str], *, keep_origin: bool = True) -> DataFrame:
+    """The wide export: submission time, then one CSV-text column per question of ``titles``.
+
+    ``cells`` come from ``export_cells`` for one form (or forms with the same questions). Rows
+    are ordered by (submitted_at, response_id). The origin of each row stays in the table;
     leaving it out is the caller's explicit choice.
     """
-    mine = headers.where(F.col("form_id") == form_id).orderBy("ord").select("question_id", "header").collect()
-    titles = {r["question_id"]: r["header"] for r in mine}
     base = ["submitted_at", "response_id"] + (["origin"] if keep_origin else [])
     questions = [q for q in titles if q is not None]
-    wide = cells.where(F.col("form_id") == form_id).groupBy(*base).pivot("question_id", questions).agg(
-        F.first(csv_cell())
-    )
+    wide = cells.withColumn("csv", csv_cell()).groupBy(*base).pivot("question_id", questions).agg(F.first("csv"))
     ordered = wide.orderBy("submitted_at", "response_id")
     stamp = F.date_format("submitted_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    # Answered and not-answered cells of a question share a column, so the columns stay text.
     return ordered.select(
         stamp.alias(titles[None]), *[F.coalesce(F.col(f"`{q}`"), F.lit("")).alias(titles[q]) for q in questions],
         *([F.col("origin").alias("__origin")] if keep_origin else []),
@@ -156,3 +156,17 @@ def write_csv(table: DataFrame, path: str) -> None:
         path, header=True, lineSep="\r\n", quote='"', escape='"', emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
+
+
+def target_labels(targets: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
+    """Question title and option label of each frozen target; what the form lacks sets ``problem``."""
+    q = questions.select("form_id", "question_id", F.col("title").alias("question_title"), F.lit(True).alias("has_question"))
+    o = options.select("form_id", "question_id", "option_key", F.col("label").alias("option_label"), F.lit(True).alias("has_option"))
+    joined = targets.join(q, ["form_id", "question_id"], "left").join(
+        o, ["form_id", "question_id", "option_key"], "left"
+    )
+    return joined.withColumn(
+        "problem",
+        F.when(F.col("has_question").isNull(), "missing_question")
+        .when(F.col("option_key").isNotNull() & F.col("has_option").isNull(), "missing_option"),
+    ).drop("has_question", "has_option")

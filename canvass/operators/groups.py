@@ -95,17 +95,20 @@ def invalid_groups(members: DataFrame, questions: DataFrame, options: DataFrame)
 def group_overlaps(members: DataFrame) -> DataFrame:
     """For every group, how many other groups of its question share a member.
 
-    Each (question, member) collects its groups, so the cost is the number of memberships
-    of one member, not all pairs of groups.
+    Groups with the same member set overlap with the same groups, so sets are compared
+    instead of groups: a member listed by very many groups costs one row per distinct set.
     """
-    own = members.select("form_id", "question_id", "member", "group_id").distinct()
-    sharing = own.groupBy("form_id", "question_id", "member").agg(F.collect_set("group_id").alias("sharing"))
-    return (
-        own.join(sharing, ["form_id", "question_id", "member"])
-        .select("form_id", "question_id", "group_id", F.explode("sharing").alias("other"))
-        .groupBy("form_id", "question_id", "group_id")
-        .agg(F.count_distinct(F.when(F.col("other") != F.col("group_id"), F.col("other"))).alias("overlapping_groups"))
+    keys = ["form_id", "question_id"]
+    sets = members.groupBy(*keys, "group_id").agg(F.array_sort(F.collect_set("member")).alias("member_set"))
+    distinct_sets = sets.groupBy(*keys, "member_set").agg(F.count(F.lit(1)).alias("groups"))
+    exploded = distinct_sets.select(*keys, "member_set", "groups", F.explode("member_set").alias("member"))
+    other = exploded.select(*keys, "member", F.col("member_set").alias("other_set"), F.col("groups").alias("other_groups"))
+    overlapping = (
+        exploded.select(*keys, "member_set", "member").join(other, [*keys, "member"])
+        .select(*keys, "member_set", "other_set", "other_groups").distinct()
+        .groupBy(*keys, "member_set").agg((F.sum("other_groups") - 1).alias("overlapping_groups"))
     )
+    return sets.join(overlapping, [*keys, "member_set"]).select(*keys, "group_id", "overlapping_groups")
 
 
 def observed_cells(slots: DataFrame) -> DataFrame:
