@@ -479,7 +479,7 @@ def checkbox_text(spark, sf_dir):
     )
 
 
-@query("scl15", S.rstrip() + ", " + EXPORT_SQL + " SELECT response_id, question_id, csv FROM csv")
+@query("scl15", S.rstrip() + ", " + EXPORT_SQL + """ SELECT response_id, question_id, CASE WHEN regexp_matches(csv, '[",\r\n]') THEN '"' || replace(csv, '"', '""') || '"' ELSE csv END AS csv FROM csv""")
 def csv_cells(spark, sf_dir):
     return _cells(spark, sf_dir).select("response_id", "question_id", X.csv_quoted(X.csv_cell()).alias("csv"))
 
@@ -507,4 +507,5 @@ def csv_sink(spark, sf_dir):
     names = [TITLES[q] for q in TITLES] + ["__origin"]
     schema = ", ".join(f"`{n}` string" for n in names)
     back = spark.read.schema(schema).csv(path, header=True, lineSep="\r\n", quote='"', escape='"', emptyValue="", nullValue="\0")
-    return back.groupBy("q_status", "q_flags", "q_time").agg(F.count(F.lit(1)).alias("rows"))
+    # An empty CSV field reads back as null.
+    return back.fillna("").groupBy("q_status", "q_flags", "q_time").agg(F.count(F.lit(1)).alias("rows"))

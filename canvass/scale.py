@@ -112,3 +112,18 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast a dimension only after counting it; otherwise leave the join to Spark."""
     return F.broadcast(df) if has_at_most(df, rows) else df
+
+
+def explode_count(df: DataFrame, amount: Column, out: str, block: int = 4096) -> DataFrame:
+    """Repeat each row ``amount`` times, numbered from 1.
+
+    Blocks are exploded first and spread over tasks, so that one row asking for billions of
+    copies neither builds a huge array nor keeps one task busy.
+    """
+    blocks = df.withColumn("__amount", amount.cast("long")).where(F.col("__amount") > 0).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__amount") - 1) / block))).alias("__block")
+    )
+    first = F.col("__block") * block
+    return blocks.repartition("__block", *df.columns[:1]).select(
+        *df.columns, F.explode(F.sequence(first + 1, F.least(first + block, F.col("__amount")))).alias(out)
+    )
