@@ -101,7 +101,10 @@ def augment(source: DataFrame, job: Job) -> Augmentation:
     wanted = [
         "response_id", *([job.time_column] if job.time_column else []), *job.scores, *job.categorical
     ]
-    source = source.select(*dict.fromkeys(wanted)).withColumn("response_id", F.col("response_id").cast("string"))
+    # Planning, fitting, requests and checks all scan these few columns, so they are written once.
+    source = materialise(
+        source.select(*dict.fromkeys(wanted)).withColumn("response_id", F.col("response_id").cast("string"))
+    )
     rows = source.count()
     additions = job.final_count - rows
     plans = support_plans(source, job)

@@ -211,6 +211,7 @@ def generate_pool(
         raise ValueError("categorical source cells must not be null")
     model = model or copula.fit(source, job.scores, job.categorical, job.time_column)
     table, patterns = request_table(source, job, additions, pool_size, plans)
+    table = materialise(table)
     wanted = explode_count(table, F.col("amount"), "copy")
     rows = copula.sample(model, wanted, patterns, job.seed, ["request_id", "copy"])
     for name in (*job.scores, *job.categorical):

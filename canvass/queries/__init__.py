@@ -6,7 +6,9 @@ from importlib import import_module
 
 from canvass.queries.registry import ORACLES, QUERIES
 
-MODULES: tuple[str, ...] = ("profiles", "evaluation", "paths", "planning", "answers", "documents", "tables")
+MODULES: tuple[str, ...] = (
+    "profiles", "evaluation", "paths", "planning", "answers", "documents", "tables", "augmenting",
+)
 
 for _name in MODULES:
     import_module(f"canvass.queries.{_name}")
