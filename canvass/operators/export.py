@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.labels import spreadsheet_safe
 from canvass.functions.parsing import (
-    DATE_PATTERN, DATETIME_PATTERN, EXPORT_TIME_PATTERN, calendar_date, valid_clock_time,
+    DATE_PATTERN, DATETIME_PATTERN, EXPORT_TIME_PATTERN, valid_calendar_date, valid_clock_time,
 )
 from canvass.schema import ANSWERED
 
@@ -70,11 +70,11 @@ def export_cells(slots: DataFrame, form_options: DataFrame, flags: DataFrame) ->
     c = F.col
     text, kind = c("text"), c("kind")
     year_flag, time_flag = F.coalesce("include_year", F.lit(False)), F.coalesce("include_time", F.lit(False))
-    day = calendar_date(_part(text, DATE_PATTERN, 1), _part(text, DATE_PATTERN, 2), _part(text, DATE_PATTERN, 3))
-    moment_day = calendar_date(
+    day = valid_calendar_date(_part(text, DATE_PATTERN, 1), _part(text, DATE_PATTERN, 2), _part(text, DATE_PATTERN, 3))
+    moment_day = valid_calendar_date(
         _part(text, DATETIME_PATTERN, 1), _part(text, DATETIME_PATTERN, 2), _part(text, DATETIME_PATTERN, 3)
     )
-    moment_ok = moment_day.isNotNull() & valid_clock_time(
+    moment_ok = moment_day & valid_clock_time(
         _part(text, DATETIME_PATTERN, 4), _part(text, DATETIME_PATTERN, 5)
     )
     hours, minutes = _part(text, EXPORT_TIME_PATTERN, 1), _part(text, EXPORT_TIME_PATTERN, 2)
@@ -82,7 +82,7 @@ def export_cells(slots: DataFrame, form_options: DataFrame, flags: DataFrame) ->
         text.rlike(EXPORT_TIME_PATTERN) & (minutes <= 59) & (F.coalesce("duration", F.lit(False)) | (hours <= 23)),
         F.lit(False),
     )
-    is_day = (kind == "date") & year_flag & ~time_flag & day.isNotNull()
+    is_day = (kind == "date") & year_flag & ~time_flag & day
     is_moment = (kind == "date") & year_flag & time_flag & F.coalesce(moment_ok, F.lit(False))
     is_clock = (kind == "time") & clock_ok
     answered = F.coalesce(c("state") == ANSWERED, F.lit(False))

@@ -1,8 +1,8 @@
 """Counts, shares, means, distributions and conditional shares of every form in one pass.
 
-The whole profile needs two aggregates. Each slot emits small facts (eligible, option
-picked, score), so hash aggregation combines them before the shuffle: what crosses the
-network is one row per (form, question, fact) and task, however skewed the forms are.
+The whole profile needs two aggregates. Slots are counted by content before the shuffle: what
+crosses the network is one row per (form, question, content) and task, however skewed the
+forms are, and no metric scans the responses again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.slots import eligible, explode_slots, group_value
 from canvass.schema import ANSWERED
+from canvass.session import materialise
 
 
 def share_of(count: Column, denominator: Column) -> Column:
@@ -42,9 +43,18 @@ def with_scores(slots: DataFrame, score_map: DataFrame | None = None) -> DataFra
     ).drop("__likert")
 
 
-def question_facts(slots: DataFrame, score_map: DataFrame | None = None) -> DataFrame:
-    """(form, question, fact, key, n): the only aggregate the per-question metrics need."""
-    rows = with_scores(slots, score_map)
+def question_rows(slots: DataFrame, score_map: DataFrame | None = None) -> DataFrame:
+    """One row per (form, question): eligible, option -> count, score -> count.
+
+    Slots are first counted by content (state, picked options, score): one plain hash
+    aggregate over the long table. Everything else, the Likert join and the unpacking of
+    checkbox combinations included, works on those few cells. The maps hold what a form
+    defines (options, scores), never free text.
+    """
+    cells = slots.groupBy("form_id", "question_id", "kind", "state", "option_key", "option_keys", "score").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    rows = with_scores(cells, score_map)
     answered = F.col("state") == ANSWERED
     fact = lambda name, key: F.struct(F.lit(name).alias("fact"), key.cast("string").alias("key"))
     picks = F.when(answered & (F.col("kind") == "single_choice"), F.array("option_key")).when(
@@ -57,78 +67,64 @@ def question_facts(slots: DataFrame, score_map: DataFrame | None = None) -> Data
             F.col("mapped_score").isNotNull(), F.array(fact("score", F.col("mapped_score")))
         ).otherwise(F.array()),
     )
-    return (
-        rows.select("form_id", "question_id", F.explode_outer(facts).alias("f"))
-        .where(F.col("f").isNotNull())
+    counted = (
+        rows.select("form_id", "question_id", "n", F.explode_outer(facts).alias("f")).where(F.col("f").isNotNull())
         .groupBy("form_id", "question_id", F.col("f.fact").alias("fact"), F.col("f.key").alias("key"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
-
-
-def _denominators(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("fact") == "eligible").select(
-        "form_id", "question_id", F.col("n").alias("denominator_count")
+    pairs = lambda name: F.map_from_entries(
+        F.filter(F.collect_list(F.when(F.col("fact") == name, F.struct("key", "n"))), lambda e: e["key"].isNotNull())
+    )
+    return counted.groupBy("form_id", "question_id").agg(
+        F.sum(F.when(F.col("fact") == "eligible", F.col("n"))).alias("eligible"),
+        pairs("option").alias("option_counts"), pairs("score").alias("score_counts"),
     )
 
 
-def option_metrics(facts: DataFrame, options: DataFrame) -> DataFrame:
+def option_metrics(rows: DataFrame, options: DataFrame) -> DataFrame:
     """Count and share of every form option, single choice and checkbox, zero-filled."""
-    counts = facts.where(F.col("fact") == "option").select(
-        "form_id", "question_id", F.col("key").alias("option_key"), "n"
+    n = F.coalesce(F.element_at("option_counts", F.col("option_key")), F.lit(0))
+    d = F.coalesce("eligible", F.lit(0))
+    return options.select("form_id", "question_id", "option_key").join(
+        rows, ["form_id", "question_id"], "left"
+    ).select(
+        "form_id", "question_id", "option_key",
+        n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
     )
-    n = F.coalesce("n", F.lit(0))
-    d = F.coalesce("denominator_count", F.lit(0))
-    return (
-        options.select("form_id", "question_id", "option_key")
-        .join(counts, ["form_id", "question_id", "option_key"], "left")
-        .join(_denominators(facts), ["form_id", "question_id"], "left")
-        .select(
-            "form_id", "question_id", "option_key",
-            n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
-        )
+
+
+def _score_sums(rows: DataFrame) -> DataFrame:
+    entries = F.coalesce(F.map_entries("score_counts"), F.array().cast("array<struct<key:string,value:bigint>>"))
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("answered", F.aggregate(entries, zero, lambda acc, e: acc + e["value"])).withColumn(
+        "total", F.aggregate(entries, zero, lambda acc, e: acc + e["key"].cast("long") * e["value"])
     )
 
 
-def mean_metrics(facts: DataFrame, questions: DataFrame) -> DataFrame:
+def mean_metrics(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """Mean over answered scores for every scored question; an empty one has mean 0."""
-    score = F.col("key").cast("long")
-    sums = (
-        facts.where(F.col("fact") == "score")
-        .groupBy("form_id", "question_id")
-        .agg(F.sum(score * F.col("n")).alias("total"), F.sum("n").alias("answered"))
-    )
-    d = F.coalesce("answered", F.lit(0))
-    return (
-        questions.select("form_id", "question_id")
-        .join(sums, ["form_id", "question_id"], "left")
-        .select(
-            "form_id", "question_id", d.alias("denominator_count"),
-            share_of(F.col("total"), d).alias("mean"),
-        )
+    joined = _score_sums(questions.select("form_id", "question_id").join(rows, ["form_id", "question_id"], "left"))
+    return joined.select(
+        "form_id", "question_id", F.col("answered").alias("denominator_count"),
+        share_of(F.col("total"), F.col("answered")).alias("mean"),
     )
 
 
-def ordinal_distribution(facts: DataFrame, bounds: DataFrame) -> DataFrame:
+def ordinal_distribution(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """Count and share of every value in [ceil(min), floor(max)], zero-filled.
 
     ``bounds`` has form_id, question_id, min, max.
     """
-    scores = facts.where(F.col("fact") == "score").select(
-        "form_id", "question_id", F.col("key").cast("long").alias("value"), "n"
-    )
-    totals = scores.groupBy("form_id", "question_id").agg(F.sum("n").alias("answered"))
     values = bounds.where(F.ceil("min") <= F.floor("max")).select(
         "form_id", "question_id",
         F.explode(F.sequence(F.ceil("min").cast("long"), F.floor("max").cast("long"))).alias("value"),
     )
-    n, d = F.coalesce("n", F.lit(0)), F.coalesce("answered", F.lit(0))
-    return (
-        values.join(scores, ["form_id", "question_id", "value"], "left")
-        .join(totals, ["form_id", "question_id"], "left")
-        .select(
-            "form_id", "question_id", "value",
-            n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
-        )
+    joined = _score_sums(values.join(rows, ["form_id", "question_id"], "left"))
+    n = F.coalesce(F.element_at("score_counts", F.col("value").cast("string")), F.lit(0))
+    d = F.col("answered")
+    return joined.select(
+        "form_id", "question_id", "value",
+        n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
     )
 
 
@@ -142,8 +138,11 @@ def group_hits(responses: DataFrame, members: DataFrame) -> DataFrame:
     Exploding inside the row and carrying the checkbox slots along replaces the self join
     that a long table would need for conditional shares.
     """
-    checks = F.filter(
-        "answers", lambda a: (a["kind"] == "multi_choice") & eligible(a["state"])
+    checks = F.transform(
+        F.filter("answers", lambda a: (a["kind"] == "multi_choice") & eligible(a["state"])),
+        lambda a: F.struct(
+            a["question_id"].alias("question_id"), a["state"].alias("state"), a["option_keys"].alias("option_keys")
+        ),
     )
     values = F.filter(
         F.transform(
@@ -160,16 +159,21 @@ def group_hits(responses: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def group_metrics(responses: DataFrame, facts: DataFrame, members: DataFrame) -> DataFrame:
-    """Count and share of every value group; groups may overlap."""
-    counts = group_hits(responses, members).groupBy("form_id", "group_id").agg(
+def group_cells(responses: DataFrame, members: DataFrame) -> DataFrame:
+    """(form, group, checkbox slots of the member, n): all that group metrics need."""
+    return group_hits(responses, members).groupBy("form_id", "group_id", "checks").agg(
         F.count(F.lit(1)).alias("n")
     )
-    n, d = F.coalesce("n", F.lit(0)), F.coalesce("denominator_count", F.lit(0))
+
+
+def group_metrics(cells: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Count and share of every value group; groups may overlap."""
+    counts = cells.groupBy("form_id", "group_id").agg(F.sum("n").alias("n"))
+    n, d = F.coalesce("n", F.lit(0)), F.coalesce("eligible", F.lit(0))
     return (
         members.select("form_id", "group_id", "question_id").distinct()
         .join(counts, ["form_id", "group_id"], "left")
-        .join(_denominators(facts), ["form_id", "question_id"], "left")
+        .join(rows.select("form_id", "question_id", "eligible"), ["form_id", "question_id"], "left")
         .select(
             "form_id", "group_id", "question_id",
             n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
@@ -177,7 +181,7 @@ def group_metrics(responses: DataFrame, facts: DataFrame, members: DataFrame) ->
     )
 
 
-def conditional_metrics(responses: DataFrame, members: DataFrame, options: DataFrame) -> DataFrame:
+def conditional_metrics(cells: DataFrame, members: DataFrame, options: DataFrame) -> DataFrame:
     """Among group members with an eligible checkbox cell, the share that holds each option.
 
     ``options`` lists the checkbox options to report.
@@ -195,25 +199,22 @@ def conditional_metrics(responses: DataFrame, members: DataFrame, options: DataF
         )
     )
     counts = (
-        group_hits(responses, members)
-        .select("form_id", "group_id", F.explode_outer(facts).alias("f"))
-        .where(F.col("f").isNotNull())
-        .groupBy("form_id", "group_id", "f.question_id", "f.option_key")
-        .agg(F.count(F.lit(1)).alias("n"))
+        cells.select("form_id", "group_id", "n", F.explode_outer(facts).alias("f")).where(F.col("f").isNotNull())
+        .groupBy("form_id", "group_id", "f.question_id", "f.option_key").agg(F.sum("n").alias("n"))
     )
-    population = counts.where(F.col("option_key").isNull()).select(
-        "form_id", "group_id", "question_id", F.col("n").alias("denominator_count")
+    # The null key counts the population; the map holds the options of one question.
+    per_question = counts.groupBy("form_id", "group_id", "question_id").agg(
+        F.sum(F.when(F.col("option_key").isNull(), F.col("n"))).alias("population"),
+        F.map_from_entries(
+            F.filter(F.collect_list(F.struct("option_key", "n")), lambda e: e["option_key"].isNotNull())
+        ).alias("option_counts"),
     )
-    n, d = F.coalesce("n", F.lit(0)), F.coalesce("denominator_count", F.lit(0))
+    n = F.coalesce(F.element_at("option_counts", F.col("option_key")), F.lit(0))
+    d = F.coalesce("population", F.lit(0))
     return (
         members.select("form_id", "group_id").distinct()
         .join(options.select("form_id", "question_id", "option_key"), "form_id")
-        .join(
-            counts.where(F.col("option_key").isNotNull()),
-            ["form_id", "group_id", "question_id", "option_key"],
-            "left",
-        )
-        .join(population, ["form_id", "group_id", "question_id"], "left")
+        .join(per_question, ["form_id", "group_id", "question_id"], "left")
         .select(
             "form_id", "group_id", "question_id", "option_key",
             n.alias("count"), d.alias("denominator_count"), share_of(n, d).alias("share"),
@@ -234,7 +235,9 @@ def profile(
     scored from 1 to 5. Columns: form_id, metric, group_id, question_id, item, count,
     denominator_count, value.
     """
-    facts = question_facts(explode_slots(responses), score_map)
+    # Two aggregates read the responses; their few result rows are written once and feed every metric.
+    facts = materialise(question_rows(explode_slots(responses), score_map))
+    cells = materialise(group_cells(responses, members))
     bounds = questions.where(F.col("kind") == "ordinal").select("form_id", "question_id", "min", "max")
     if score_map is not None:
         bounds = bounds.unionByName(
@@ -263,11 +266,11 @@ def profile(
         .unionByName(rows(mean_metrics(facts, bounds), "mean", none, "mean"))
         .unionByName(rows(ordinal_distribution(facts, bounds), "distribution", F.col("value"), "share"))
         .unionByName(
-            rows(group_metrics(responses, facts, members), "value_group", none, "share", F.col("group_id"))
+            rows(group_metrics(cells, facts, members), "value_group", none, "share", F.col("group_id"))
         )
         .unionByName(
             rows(
-                conditional_metrics(responses, members, checkbox),
+                conditional_metrics(cells, members, checkbox),
                 "conditional_share", F.col("option_key"), "share", F.col("group_id"),
             )
         )

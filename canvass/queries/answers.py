@@ -441,8 +441,8 @@ def first_value_page(spark, sf_dir):
 @query("set04", BASE_SQL + """SELECT o.form_id, o.question_id, o.option_key FROM options o WHERE NOT EXISTS (
    SELECT 1 FROM picks p WHERE p.form_id = o.form_id AND p.question_id = o.question_id AND p.option_key = o.option_key)""")
 def schema_only_members(spark, sf_dir):
-    seen = P.question_facts(_slots(spark, sf_dir)).where(c("fact") == "option").select(
-        "form_id", "question_id", c("key").alias("option_key")
+    seen = P.question_rows(_slots(spark, sf_dir)).select(
+        "form_id", "question_id", F.explode(F.map_keys("option_counts")).alias("option_key")
     )
     return field.options(spark, sf_dir).select("form_id", "question_id", "option_key").join(
         seen, ["form_id", "question_id", "option_key"], "left_anti"

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canvass.functions.parsing import half_up
 from canvass.functions.slots import explode_slots
 from canvass.operators import profile as P
 from canvass.plans import support as S
@@ -305,7 +304,7 @@ def mean_plans(spark, sf_dir):
 
 
 def _option_totals(spark, sf_dir, option):
-    facts = P.question_facts(explode_slots(field.responses(spark, sf_dir)))
+    facts = P.question_rows(explode_slots(field.responses(spark, sf_dir)))
     return P.option_metrics(
         facts, field.options(spark, sf_dir).where((c("question_id") == "q_status") & (c("option_key") == option))
     ).select("form_id", c("denominator_count").alias("source_denominator"), c("count").alias("source_numerator"))
@@ -342,7 +341,7 @@ def count_plans(spark, sf_dir):
 
 def _conditional_inputs(spark, sf_dir):
     metric = P.conditional_metrics(
-        field.responses(spark, sf_dir), field.members(spark, sf_dir),
+        P.group_cells(field.responses(spark, sf_dir), field.members(spark, sf_dir)), field.members(spark, sf_dir),
         field.options(spark, sf_dir).where(c("question_id") == "q_flags"),
     ).where(c("group_id") == "g_heavy").select(
         "form_id", c("option_key").alias("target_id"), c("denominator_count").alias("source_population"),

@@ -60,7 +60,7 @@ PROFILE_SQL = f"""SELECT form_id, 'option' AS metric, CAST(NULL AS VARCHAR) AS g
 
 def _facts(spark, sf_dir, scored=False):
     slots = explode_slots(field.responses(spark, sf_dir))
-    return P.question_facts(slots, field.score_map(spark, sf_dir) if scored else None)
+    return P.question_rows(slots, field.score_map(spark, sf_dir) if scored else None)
 
 
 def _options(spark, sf_dir, kind):
@@ -82,8 +82,8 @@ def checkbox_shares(spark, sf_dir):
 
 @query("agg03", BASE_SQL + GROUP_SQL)
 def value_group_shares(spark, sf_dir):
-    r, m = field.responses(spark, sf_dir), field.members(spark, sf_dir)
-    return P.group_metrics(r, _facts(spark, sf_dir), m)
+    m = field.members(spark, sf_dir)
+    return P.group_metrics(P.group_cells(field.responses(spark, sf_dir), m), _facts(spark, sf_dir), m)
 
 
 def _bounds(spark, sf_dir):
@@ -106,9 +106,9 @@ def distributions(spark, sf_dir):
 
 @query("agg06", BASE_SQL + CONDITIONAL_SQL)
 def conditional_shares(spark, sf_dir):
-    return P.conditional_metrics(
-        field.responses(spark, sf_dir), field.members(spark, sf_dir), _options(spark, sf_dir, "multi_choice")
-    )
+    m = field.members(spark, sf_dir)
+    cells = P.group_cells(field.responses(spark, sf_dir), m)
+    return P.conditional_metrics(cells, m, _options(spark, sf_dir, "multi_choice"))
 
 
 @query("agg07", BASE_SQL + PROFILE_SQL)
@@ -120,9 +120,6 @@ def full_profile(spark, sf_dir):
 
 
 SCOPED_SQL = BASE_SQL.replace(
-    "LEFT JOIN (SELECT l_orderkey, max",
-    "LEFT JOIN (SELECT l_orderkey, max", 1,
-).replace(
     "ON l.l_orderkey = o.o_orderkey)",
     "ON l.l_orderkey = o.o_orderkey\n WHERE o.o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31')", 1,
 )
