@@ -51,17 +51,6 @@ def inverse_normal(u: Column) -> Column:
     return quantile(u)
 
 
-def normal_cdf(z: Column) -> Column:
-    """Polynomial form of the normal distribution function (Abramowitz and Stegun 26.2.17)."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z))
-    # Published coefficients of the approximation.
-    poly = F.lit(0.0)
-    for b in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
-        poly = (poly + F.lit(b)) * t
-    upper = F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi)) * poly
-    return F.when(z >= 0, F.lit(1.0) - upper).otherwise(upper)
-
-
 def hashed_normal(seed: int, index: int, *key: str) -> Column:
     """Standard normal that depends only on the seed, the draw and the row key."""
     u, v = (hash_uniform(seed, F.lit(index), F.lit(side), *key) for side in ("u", "v"))
@@ -175,64 +164,91 @@ def _conditional(model: Copula, given: Sequence[str]) -> tuple[np.ndarray, np.nd
     return a, low
 
 
-def sample(model: Copula, rows: DataFrame, patterns: Sequence[tuple[str, ...]], seed: int, key: Sequence[str]) -> DataFrame:
-    """Complete request rows to data rows.
+def sample(
+    model: Copula, rows: DataFrame, patterns: Sequence[tuple[str, ...]], seed: int, key: Sequence[str],
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Complete request rows to data rows; returns ``key``, ``carry`` and the model's columns.
 
     ``rows`` has the ``key`` columns and ``given``: map<column, value>. ``patterns`` lists the
     sets of given columns that occur. Given columns keep their value exactly; the others follow
-    the conditional normal.
+    the conditional normal. The noise is hashed from the row key in Spark, so a batch is plain
+    linear algebra and a sorted lookup, whatever partition it runs in.
     """
-    spark = rows.sparkSession
-    out = rows
-    for x in model.columns[: len(model.columns) - bool(model.time_column)]:
-        value = F.element_at("given", F.lit(x))
-        if x in model.small:
-            pairs = [F.lit(v) for val, _, z in model.small[x] for v in (val if val is not None else "\0", z)]
-            out = out.withColumn(f"__g_{x}", F.element_at(F.create_map(*pairs), value))
-        else:
-            own = model.levels.where(F.col("column") == x).select(F.col("value").alias("__v"), F.col("z").alias(f"__g_{x}"))
-            out = out.withColumn("__v", value).join(own, "__v", "left").drop("__v")
+    discrete = [x for x in model.columns if x != model.time_column]
     k = len(model.columns)
-    names = [",".join(sorted(p)) for p in patterns]
-    table = [
-        (name, *[m.astype(float).ravel().tolist() for m in _conditional(model, p)])
-        for name, p in zip(names, patterns, strict=True)
-    ]
-    coefs = spark.createDataFrame(table, "__pattern string, __a array<double>, __l array<double>")
-    out = out.withColumn("__pattern", F.array_join(F.array_sort(F.map_keys("given")), ",")).join(
-        F.broadcast(coefs), "__pattern"  # one row per pattern of the caller's list
+    slim = rows.select(
+        *key, *carry,
+        *[F.element_at("given", F.lit(x)).alias(f"__v_{x}") for x in discrete],
+        *[hashed_normal(seed, i, *key).alias(f"__e{i}") for i in range(k)],
     )
-    given_z = [F.coalesce(F.col(f"__g_{x}"), F.lit(0.0)) if x != model.time_column else F.lit(0.0) for x in model.columns]
-    for i in range(k):
-        out = out.withColumn(f"__e{i}", hashed_normal(seed, i, *key))
-    for j, x in enumerate(model.columns):
-        z = sum(
-            (F.col("__a")[j * k + i] * given_z[i] + F.col("__l")[j * k + i] * F.col(f"__e{i}") for i in range(k)),
-            F.lit(0.0),
+    for x in model.large:
+        own = model.levels.where(F.col("column") == x).select(
+            F.col("value").alias(f"__v_{x}"), F.col("z").alias(f"__g_{x}")
         )
-        out = out.withColumn(f"__u_{x}", normal_cdf(z))
-    for x in model.columns:
-        if x == model.time_column:
-            grid = model.time_grid
-            step = F.least(F.floor(F.col(f"__u_{x}") * (len(grid) - 1)), F.lit(len(grid) - 2)).cast("int")
-            points = F.array(*[F.lit(g) for g in grid])
-            lo, hi = F.element_at(points, step + 1), F.element_at(points, step + 2)
-            part = F.col(f"__u_{x}") * (len(grid) - 1) - step
-            out = out.withColumn(x, F.timestamp_micros((lo + (hi - lo) * part).cast("long")).cast("timestamp_ntz"))
-            continue
-        position = F.least(F.floor(F.col(f"__u_{x}") * model.rows), F.lit(model.rows - 1)).cast("long")
-        if x in model.small:
-            his = F.array(*[F.lit(hi) for _, hi, _ in model.small[x]])
-            values = F.array(*[F.lit(v).cast("string") for v, _, _ in model.small[x]])
-            drawn = F.element_at(values, F.size(F.filter(his, lambda h: h <= F.col("__pos"))) + 1)
-            out = out.withColumn("__pos", position).withColumn("__drawn", drawn).drop("__pos")
+        slim = slim.join(own, f"__v_{x}", "left")
+    coefs = {frozenset(p): _conditional(model, p) for p in patterns}
+    columns, small, large = model.columns, dict(model.small), tuple(model.large)
+    total, grid, time_column = model.rows, model.time_grid, model.time_column
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        his = {x: np.array([hi for _, hi, _ in levels]) for x, levels in small.items()}
+        values = {x: np.array([v for v, _, _ in levels], dtype=object) for x, levels in small.items()}
+        scores = {x: {v: z for v, _, z in levels} for x, levels in small.items()}
+        for pdf in batches:
+            n = len(pdf)
+            noise = np.column_stack([pdf[f"__e{i}"].to_numpy(float) for i in range(k)])
+            fixed, is_given = np.zeros((n, k)), np.zeros((n, k), dtype=bool)
+            for j, x in enumerate(columns):
+                if x == time_column:
+                    continue
+                is_given[:, j] = pdf[f"__v_{x}"].notna().to_numpy()
+                z = pdf[f"__g_{x}"] if x in large else pdf[f"__v_{x}"].map(scores[x])
+                fixed[:, j] = pd.to_numeric(z).fillna(0.0).to_numpy(float)
+            drawn = np.zeros((n, k))
+            for names, (a, low) in coefs.items():
+                mask = (is_given == np.array([x in names for x in columns])).all(axis=1)
+                drawn[mask] = fixed[mask] @ a.T + noise[mask] @ low.T
+            # Normal distribution function, Abramowitz and Stegun 26.2.17. Its coefficients.
+            t = 1.0 / (1.0 + 0.2316419 * np.abs(drawn))
+            poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+            upper = np.exp(-drawn * drawn / 2) / np.sqrt(2 * np.pi) * poly
+            u = np.where(drawn >= 0, 1.0 - upper, upper)
+            out = {c: pdf[c] for c in (*key, *carry)}
+            for j, x in enumerate(columns):
+                if x == time_column:
+                    out[x] = np.interp(u[:, j] * (len(grid) - 1), np.arange(len(grid)), np.array(grid, float)).astype("int64")
+                    continue
+                position = np.minimum((u[:, j] * total).astype("int64"), total - 1)
+                if x in large:
+                    out[f"__p_{x}"], out[f"__v_{x}"] = position, pdf[f"__v_{x}"]
+                else:
+                    picked = values[x][np.searchsorted(his[x], position, side="right")]
+                    out[x] = np.where(is_given[:, j], pdf[f"__v_{x}"].to_numpy(object), picked)
+            yield pd.DataFrame(out)
+
+    types = dict(slim.dtypes)
+    fields = [f"`{c}` {types[c]}" for c in (*key, *carry)]
+    for x in columns:
+        if x == time_column:
+            fields.append(f"`{x}` bigint")
+        elif x in large:
+            fields += [f"`__p_{x}` bigint", f"`__v_{x}` string"]
         else:
-            out = _draw_large(model, out.withColumn("__pos", position), x)
-        out = out.withColumn(x, F.coalesce(F.element_at("given", F.lit(x)), F.col("__drawn"))).drop("__drawn")
+            fields.append(f"`{x}` string")
+    out = slim.mapInPandas(draw, ", ".join(fields))
+    for x in large:
+        out = _draw_large(model, out.withColumnRenamed(f"__p_{x}", "__pos"), x).withColumn(
+            x, F.coalesce(f"__v_{x}", "__drawn")
+        ).drop(f"__v_{x}", "__drawn")
     for x in model.numeric:
         out = out.withColumn(x, F.col(x).cast("double"))
-    temporary = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*temporary)
+    if time_column:
+        out = out.withColumn(time_column, F.timestamp_micros(time_column).cast("timestamp_ntz"))
+    return out
 
 
 def _draw_large(model: Copula, rows: DataFrame, column: str) -> DataFrame:

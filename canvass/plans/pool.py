@@ -212,10 +212,15 @@ def generate_pool(
     model = model or copula.fit(source, job.scores, job.categorical, job.time_column)
     table, patterns = request_table(source, job, additions, pool_size, plans)
     table = materialise(table)
-    wanted = explode_count(table, F.col("amount"), "copy")
-    rows = copula.sample(model, wanted, patterns, job.seed, ["request_id", "copy"])
-    for name in (*job.scores, *job.categorical):
-        injected = F.element_at("inject", F.lit(name))
+    modelled = (*job.scores, *job.categorical)
+    wanted = explode_count(table, F.col("amount"), "copy").select(
+        "request_id", "copy", "given", *[F.element_at("inject", F.lit(x)).alias(f"inject_{x}") for x in modelled]
+    )
+    rows = copula.sample(
+        model, wanted, patterns, job.seed, ["request_id", "copy"], [f"inject_{x}" for x in modelled]
+    )
+    for name in modelled:
+        injected = F.col(f"inject_{name}")
         rows = rows.withColumn(
             name, F.coalesce(injected.cast("double") if name in job.scores else injected, F.col(name))
         )
