@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.schema import FORM_JSON
+from canvass.session import materialise
 
 # Entry section id, default label of an "other" option, rating icons.
 ENTRY_SECTION = "__entry__"
@@ -188,7 +189,8 @@ def build_transitions(items: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def normalise_forms(raw: DataFrame, json_column: str = "payload") -> FormTables:
-    items = form_items(raw, json_column)
+    # Documents are parsed once; every table below reads the stored items.
+    items = materialise(form_items(raw, json_column))
     sections, questions, options = build_sections(items), build_questions(items), build_options(items)
     transitions = build_transitions(items, sections)
     navigation = transitions.where(F.col("error").isNull()).select("form_id", "question_id").distinct().withColumn(
