@@ -77,11 +77,6 @@ def joint_model(spark, sf_dir):
     return model(spark, sf_dir).levels
 
 
-def _requests(spark, amounts, patterns_of):
-    none = F.create_map().cast("map<string,string>")
-    return amounts.select("request_id", patterns_of.alias("given"), none.alias("inject"), "amount")
-
-
 @query("gen03")
 def joint_sample(spark, sf_dir):
     """As many unconditioned rows as the source has; their marginals."""
