@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.common import table
+from canvass.llm.factor_machine import classify
+from canvass.llm.mixing import Target, mix
 from canvass.llm.packing import pack
 from canvass.llm.quality_rules import rule_report
+from canvass.llm.token_files import token_file_digest
+from canvass.llm.topk import top_k
+from canvass.llm.transcripts import format_chats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +22,36 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("level")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Target(max_repeat=2.0))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_harmonic_packing, op9_quality_rules)
+    f.__name__: f for f in (
+        op1_harmonic_packing, op2_exact_topk, op3_temperature_mixing, op7_chat_formatting,
+        op8_token_files, op9_quality_rules, op10_quality_classifier,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -80,13 +80,11 @@ class Encoder:
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*[c for c in cut if c]) - known.keys()
-        new.discard("")
         known[""] = b""
+        new = [c for c in set().union(*[c for c in cut if c]) if c not in known]
         if new:
-            kept = new & older.keys()
-            known.update((c, older[c]) for c in kept)
-            fresh = [c for c in new if c not in kept]
+            known.update((c, older[c]) for c in new if c in older)
+            fresh = [c for c in new if c not in older]
             marked = [c for c in fresh if c[-1] in ",." and c[-2:-1].isalpha()]
             need = {c for c in fresh if not (c[-1] in ",." and c[-2:-1].isalpha())}
             for c in marked:
