@@ -98,7 +98,10 @@ def schedule(sized: DataFrame, target: Target, seed: int) -> DataFrame:
     a, budget = find_exponent(shares, target)
     z = shares.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a)))).first()[0] or 1.0
     weight = F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(z)
-    aim = shares.select("key", weight.alias("weight"), F.round(F.lit(budget) * weight, 6).alias("aim"), F.col("tokens").alias("of_source"))
+    # An aim within rounding of whole passes is whole passes: the last document must not fall to an ulp.
+    times = F.lit(budget) * weight / F.col("tokens")
+    exact = F.when(F.abs(times - F.round(times)) < 1e-9, F.round(times)).otherwise(times)
+    aim = shares.select("key", weight.alias("weight"), (exact * F.col("tokens")).alias("aim"), F.col("tokens").alias("of_source"))
     passes = F.ceil(F.col("aim") / F.col("of_source")).cast("long")
     planned = blocks.join(aim, "key").where("aim > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(passes - 1, F.lit(0)))).alias("pass")

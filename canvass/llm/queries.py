@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from canvass.llm.common import table
 from canvass.llm.factor_machine import classify
 from canvass.llm.mixing import Target, mix
+from canvass.llm.minhash import near_duplicates
 from canvass.llm.packing import pack
+from canvass.llm.phrases import phrase_report
 from canvass.llm.quality_rules import rule_report
+from canvass.llm.suffix_dedup import dedup_report
 from canvass.llm.token_files import token_file_digest
 from canvass.llm.topk import top_k
 from canvass.llm.transcripts import format_chats
@@ -32,6 +35,18 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_report(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -50,7 +65,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_harmonic_packing, op2_exact_topk, op3_temperature_mixing, op7_chat_formatting,
+        op1_harmonic_packing, op2_exact_topk, op3_temperature_mixing, op4_repeated_phrases, op5_minhash_classes,
+        op6_suffix_dedup, op7_chat_formatting,
         op8_token_files, op9_quality_rules, op10_quality_classifier,
     )
 }
