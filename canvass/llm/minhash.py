@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import conf_during, settle, small_batches
+from canvass.llm.common import conf_during, discard, settle, small_batches
 from canvass.llm.repeats import _ARROW, WordWindows, mix, open_part, write_parts
 
 WORDS = 5
@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                     )
 
         bodies = settle(parts.join(asked, "part").mapInArrow(show, "node long, body binary"))
+    discard(parts)
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor().decompress

@@ -62,14 +62,14 @@ def _finish(length: int):
     return finish
 
 
-def locate_phrases(docs: DataFrame, length: int = 13) -> DataFrame:
+def locate_phrases(docs: DataFrame, length: int = 13, **sizes: int) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, spans (removed word runs, end exclusive).
 
     A word goes if a window of ``length`` words that covers it also starts in a document with a smaller
     doc_id, judged on the input. Words are compared unchanged. Null texts have no words; rows that repeat
     a doc_id are rows each and do not remove each other; a null doc_id loses and removes nothing.
     """
-    return with_repeats(docs, WordWindows(length=length, gram=min(5, length)), _finish(length), _RESULT)
+    return with_repeats(docs, WordWindows(length=length, gram=min(5, length)), _finish(length), _RESULT, **sizes)
 
 
 def phrase_report(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canvass.llm.common import conf_during, settle, shuffle_parts, small_batches
+from canvass.llm.common import conf_during, discard, settle, shuffle_parts, small_batches
 
 _U = np.uint64
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -180,10 +180,13 @@ def segments(part: Part, spec) -> Segments:
     if n <= 0:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none, none, none)
-    gram = np.zeros(len(tok) - spec.gram + 1, _U)
-    seen = mix(tok, 1)
-    for i in range(spec.gram):
-        gram = gram * _U(_BASE) + seen[i : i + len(gram)]
+    gram, width = mix(tok, 1), 1
+    while width * 2 <= spec.gram:  # hashes of runs of twice the width from two of half
+        gram = gram[:-width] * _U(pow(_BASE, width, 1 << 64)) + gram[width:]
+        width *= 2
+    if width < spec.gram:
+        rest = spec.gram - width  # two overlapping runs cover the gram
+        gram = gram[:-rest] * _U(_MIX) + gram[rest:]
     anchor = _least(mix(gram, 2), spec.length - spec.gram + 1)
     valid = doc_of[:n] == doc_of[spec.length - 1 :]
     begin = valid.copy()
@@ -267,23 +270,30 @@ def _emit_mixed(spec):
     return run
 
 
-def radix_first(spec, group: np.ndarray, first: np.ndarray, toks: list[np.ndarray]) -> list[np.ndarray]:
-    """For each segment, the least ``first`` among all segments of its group that hold the window, per window.
+def radix_first(spec, group: np.ndarray, first: np.ndarray, tok: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment, the least ``first`` among the segments of its group that hold it;
+    and where the windows of each segment end. ``tok`` has the segments' tokens, ``sizes`` their numbers.
 
     Most-significant-digit passes: windows are ordered by digit inside their bucket; a bucket of one
     window is done; what is left after the last digit are buckets of equal windows.
     """
-    counts = np.array([len(t) - spec.length + 1 for t in toks])
-    tok = np.concatenate(toks)
-    seg = np.repeat(np.arange(len(toks)), counts)
-    base = np.cumsum([len(t) for t in toks]) - np.array([len(t) for t in toks])
+    counts = sizes - spec.length + 1
+    seg = np.repeat(np.arange(len(sizes)), counts)
+    base = np.cumsum(sizes) - sizes
     start = base[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
     out = first[seg].copy()
-    active, bucket = np.arange(len(seg)), group[seg]
+    active = np.argsort(group[seg], kind="stable")
+    bucket = group[seg][active]
     for digit in spec.digits(tok):
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        sizes = np.diff(np.r_[edge, len(bucket)])
         value = digit[start[active]]
-        order = np.lexsort((value, bucket))
-        value, bucket, active = value[order], bucket[order], active[order]
+        # Only buckets that this digit splits are put in order.
+        split = np.add.reduceat(value != np.repeat(value[edge], sizes), edge) > 0
+        some = np.flatnonzero(np.repeat(split, sizes))
+        if len(some):
+            order = some[np.lexsort((value[some], bucket[some]))]
+            value[some], active[some] = value[order], active[order]
         new = np.r_[True, (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])]
         bucket = np.cumsum(new) - 1
         many = np.bincount(bucket)[bucket] > 1
@@ -294,7 +304,7 @@ def radix_first(spec, group: np.ndarray, first: np.ndarray, toks: list[np.ndarra
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         least = np.minimum.reduceat(out[active], edge)
         out[active] = np.repeat(least, np.diff(np.r_[edge, len(active)]))
-    return np.split(out, np.cumsum(counts)[:-1])
+    return out, np.cumsum(counts)
 
 
 def _runs(first: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -310,23 +320,44 @@ def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["anchor", "content", "offs", "lens", "firsts"])
 
 
-def _refine(spec, most: int = 4000):
+def _refine(spec, most: int = 8000):
+    """Segments sorted by anchor; whole anchors are gathered until there are ``most`` segments."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchor, content, first = (table.column(i).to_numpy() for i in range(3))
+        raw = table.column(3).to_pylist()
+        width = len(spec.pack(np.zeros(1, _U)))
+        sizes = np.array(list(map(len, raw))) // width
+        tok = spec.unpack(b"".join(raw))
+        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
+        low, ends = radix_first(spec, group, first, tok, sizes)
+        begins = np.zeros(len(low), bool)
+        begins[np.r_[0, ends[:-1]]] = True
+        at = np.flatnonzero(begins | np.r_[True, low[1:] != low[:-1]])
+        owner = np.searchsorted(ends, at, side="right")
+        edge = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))].astype(np.int32))
+        offs = (at - np.r_[0, ends[:-1]][owner]).astype(np.int32)
+        lens = np.diff(np.r_[at, len(low)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (offs, lens, low[at])]
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), *lists], names=["anchor", "content", "offs", "lens", "firsts"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            group = np.unique(np.array([r[0] for r in held]), return_inverse=True)[1]
-            firsts = radix_first(spec, group, np.array([r[2] for r in held], np.int64), [spec.unpack(r[3]) for r in held])
-            return _found_batch([(r[0], r[1], *_runs(f)) for r, f in zip(held, firsts)])
-
-        for batch in small_batches(batches, 2048):
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if len(held) >= most and held[-1][0] != row[0]:
-                    yield done()
-                    held = []
-                held.append(row)
+        held: list[pa.RecordBatch] = []
+        for batch in small_batches(batches, 4096):
+            if held and sum(b.num_rows for b in held) >= most:
+                anchor = batch.column(0).to_numpy()
+                same = int(np.argmax(anchor != held[-1].column(0)[-1].as_py())) if (anchor != held[-1].column(0)[-1].as_py()).any() else len(anchor)
+                if same:
+                    held.append(batch.slice(0, same))
+                if same < batch.num_rows:
+                    yield done(held)
+                    held, batch = [], batch.slice(same)
+                else:
+                    continue
+            held.append(batch)
         if held:
-            yield done()
+            yield done(held)
 
     return run
 
@@ -402,7 +433,7 @@ def _hits(batch: pa.RecordBatch, at: int, part: Part, spec) -> Hits:
 Finish = Callable[[Part, Hits], pa.RecordBatch]
 
 
-def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local: int = 2000) -> DataFrame:
+def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local: int = 16_000, part_bytes: int = 1 << 20) -> DataFrame:
     """Run ``finish`` on every part of ``docs`` with the recurring windows of its documents.
 
     A window recurs for a document if a document with a smaller doc_id holds it too. Null doc_ids take
@@ -411,7 +442,7 @@ def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local:
     """
     spark = docs.sparkSession
     n = shuffle_parts(spark)
-    parts = write_parts(docs)
+    parts = write_parts(docs, part_bytes)
     with conf_during(spark, {_ARROW: "4"}):
         rows = parts.mapInArrow(_emit_segments(spec), "anchor long, content long, part long, doc long, several boolean")
         by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
@@ -424,7 +455,7 @@ def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local:
             .withColumn("speaks", F.row_number().over(by_content.orderBy("part")) == 1)
             .withColumn("segments", F.sum(F.col("speaks").cast("long")).over(by_anchor))
         )
-        recurring = settle(known.select("part", "anchor", "content", "first", "mixed", "speaks", (F.col("segments") > most_local).alias("big")))
+        recurring = settle(known.select("part", "anchor", F.when(F.col("mixed"), F.col("content")).alias("content"), "first", "mixed", "speaks", (F.col("segments") > most_local).alias("big")))
         asked = recurring.where("mixed and speaks").groupBy("part").agg(F.collect_list(F.struct("anchor", "content", "first", "big")).alias("asked"))
         spoken = settle(parts.join(asked, "part").mapInArrow(_emit_mixed(spec), "anchor long, content long, first long, big boolean, tokens binary"))
     columns = ["anchor", "content", "first", "tokens"]
@@ -433,6 +464,7 @@ def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local:
     least = wide.groupBy("w1", "w2").agg(F.min("first").alias("low"))
     large = wide.join(least, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_list(F.struct("off", "low")).alias("windows")).mapInArrow(_join_runs, _FOUND)
     found = settle(small.unionByName(large))
+    discard(spoken, wide)
     single = recurring.where("not mixed").groupBy("part").agg(F.collect_list(F.struct("anchor", "first")).alias("single"))
     mixed = recurring.where("mixed").select("part", "anchor", "content").join(found, ["anchor", "content"]).groupBy("part").agg(
         F.collect_list(F.struct("anchor", "content", "offs", "lens", "firsts")).alias("mixed")
@@ -444,8 +476,12 @@ def with_repeats(docs: DataFrame, spec, finish: Finish, schema: str, most_local:
                 part = open_part(batch.slice(at, 1).drop_columns(["single", "mixed"]).to_pylist()[0], spec)
                 yield finish(part, _hits(batch, at, part, spec))
 
+    asked_for = settle(single.join(mixed, "part", "full"))
+    discard(recurring, found)
     with conf_during(spark, {_ARROW: "4"}):
-        return settle(parts.join(single, "part", "left").join(mixed, "part", "left").mapInArrow(run, schema))
+        out = settle(parts.join(asked_for, "part", "left").mapInArrow(run, schema))
+    discard(parts, asked_for)
+    return out
 
 
 def covered(part: Part, start: np.ndarray, end: np.ndarray) -> np.ndarray:
