@@ -1,0 +1,282 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, copies and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from canvass.llm import factor_machine, minhash, mixing, packing, phrases, quality_rules, suffix_dedup, token_files, topk, transcripts
+from canvass.llm.common import table
+from canvass.llm.token_ids import Encoder, public_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, part string, anchor int, mix int"
+
+
+def odd_rows():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [None, "", " \n\t ", "one", "ha " * 400, passage, passage, passage + " tail", "head " + passage, " ".join(word() for _ in range(3000))]
+    texts += [" ".join(word() for _ in range(rng.randint(1, 80))) + "\n" + passage[rng.randint(0, 50): rng.randint(60, 300)] for _ in range(40)]
+    texts += ["été " * 30 + "x", "\x1c\x85  <|endoftext|> a\x0bb", "😀" * 60, passage]
+    return [(i * 3 % 97, t, "en", None if i % 7 == 0 else f"s{i % 3}", None, "q", "p", 1, 2) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def windows_cut(docs, length):
+    """Tokens that lie in a window which starts in a document with a smaller id."""
+    first = {}
+    for i, w in docs:
+        for a in range(len(w) - length + 1):
+            key = tuple(w[a : a + length])
+            first[key] = min(i, first.get(key, i))
+    for i, w in docs:
+        cut = [False] * len(w)
+        for a in range(len(w) - length + 1):
+            if first[tuple(w[a : a + length])] < i:
+                cut[a : a + length] = [True] * length
+        yield i, w, cut
+
+
+def test_quality_rules(odd, none):
+    got = {r.doc_id: r for r in quality_rules.rule_report(odd).collect()}
+    for doc_id, text, *_ in odd_rows():
+        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        inside = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        r = got[doc_id]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(words), sum(map(len, words)), len(inside), len(lines) - len(set(lines)))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in text or "")
+        assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
+        assert not (r.kept and r.base_failed)
+    assert quality_rules.rule_report(none).count() == 0
+    assert quality_rules.keep_good(odd).columns == odd.columns
+    plan = quality_rules.rule_report(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan.replace("ArrowColumn", "")
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    letters = " \n\t\x0b   ab1,.'sé́ß<|endoftext|>\x1c\x85Σ中😀 \n  "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [r[1] for r in odd_rows()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_path(name))
+        library.encode_special_tokens = True
+        want = [np.array(x.ids + [7], "<u4").tobytes() for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert Encoder(public_path(name), limit=500)(texts, 7) == want
+
+
+@pytest.mark.parametrize("fan_in", [2])
+def test_packing(odd, none, fan_in):
+    rows = packing.pack(odd, fan_in=fan_in).collect()
+    encode = Encoder(public_path("byte_bpe_50k.json"))
+    ids = {r[0]: np.frombuffer(encode([r[1]], 0)[0], "<u4") for r in odd_rows()}
+    by_doc, by_bin = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_bin.setdefault(r.sequence_id, []).append(r)
+    assert by_doc.keys() == ids.keys()
+    for doc, pieces in by_doc.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids[doc]) and p.length > 0
+            assert p.ids_crc32 == zlib.crc32(ids[doc][at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids[doc])
+    for pieces in by_bin.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    assert packing.pack(none).count() == 0
+
+
+def test_cut_lengths_fill_classes():
+    for total in range(1, 3000):
+        pieces = packing.cut_lengths(total)
+        assert sum(pieces) == total and max(pieces) <= 1024 and len(pieces) <= total // 1024 + 6
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
+    rows += [(400 + i, rows[5][1]) for i in range(30)] + [(500, [0.0] * 6), (600, None), (700, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (800, [float("nan")] * 6), (900, [1.0] * 5), (901, []), (902, [1e300] * 6)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(5)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id < 902"), df.where("vec_id % 100 = 0"), block=64, query_block=2).collect()}
+    good = [(i, np.floor(np.array(v) * 1024).astype(int)) for i, v in rows if v and len(v) == 6 and None not in v and np.isfinite(v).all() and i < 902]
+    want = {}
+    for q, x in good:
+        if q % 100 == 0:
+            best = sorted((-(int(x @ y)), i) for i, y in good if i != q)[:10]
+            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+    few = df.where("vec_id in (0, 1, 900)")
+    assert topk.top_k(few, few.where("vec_id % 100 = 0")).count() == 1
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_threshold_stops_early():
+    vals = np.zeros((1000, 4), np.int64)
+    vals[:20] = 1000 + np.arange(20)[:, None]
+    lists = np.argsort(-vals, axis=0, kind="stable")
+    block = topk.SortedLists(np.arange(1000).astype("<i8").tobytes(), vals.astype("<i8").tobytes(), lists.astype("<u2").tobytes(), 1000, 4)
+    ids, _, depth = block.best(-1, np.ones(4, np.int64), 10, None)
+    assert ids.tolist() == list(range(19, 9, -1)) and depth < 100
+
+
+def test_mixing(spark, odd, none):
+    rows = [(i, "w " * (1 + i % 5), "big" if i % 3 else f"s{i % 4}") for i in range(900)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    have = {r.source: r.t for r in docs.groupBy("source").agg(F.sum(mixing.n_tokens(F.col("text"))).alias("t")).collect()}
+    for target in (mixing.Target(entropy=0.9, max_repeat=2.0), mixing.Target(budget=1500, entropy=1.0)):
+        mixed = mixing.mix(docs, target, block_docs=16).cache()
+        got = {r.source: r for r in mixed.groupBy("source").agg(F.sum("mix.tokens").alias("t"), F.first("mix.weight").alias("w"), F.countDistinct("doc_id").alias("n")).collect()}
+        if target.max_repeat:
+            assert all(got[s].t <= target.max_repeat * have[s] + 1e-6 for s in got)
+        if target.budget:
+            assert sum(r.t for r in got.values()) <= target.budget
+        else:
+            assert got["big"].t == have["big"] and got["big"].n == 600  # the largest source is passed once, whole
+        assert mixed.groupBy("doc_id", "mix.pass").count().where("count > 1").count() == 0
+        plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "MapInArrow" not in plan
+    again = mixing.mix(docs.repartition(7), target, block_docs=16)
+    assert mixed.exceptAll(again).count() == 0
+    assert mixing.mix(odd, mixing.Target()).columns[: len(odd.columns)] == odd.columns
+    assert mixing.mix(none, mixing.Target()).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{"part_bytes": 2000, "most_local": 1}])
+def test_repeated_phrases(odd, none, sizes):
+    got = {r.doc_id: r for r in phrases.locate_phrases(odd, **sizes).collect()}
+    for i, w, cut in windows_cut([(r[0], (r[1] or "").encode().split()) for r in odd_rows()], 13):
+        kept = b" ".join(x for x, c in zip(w, cut) if not c)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(cut), hashlib.sha256(kept).hexdigest())
+    assert phrases.locate_phrases(none).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{"part_bytes": 2000}])
+def test_suffix_dedup(odd, none, sizes):
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(odd, **sizes).collect()}
+    for i, w, cut in windows_cut([(r[0], (r[1] or "").encode()) for r in odd_rows()], 50):
+        kept = bytes(x for x, c in zip(w, cut) if not c)
+        spans = sum(c and (a == 0 or not cut[a - 1]) for a, c in enumerate(cut))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(w), sum(cut), spans, kept)
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    clean = suffix_dedup.dedup_texts(odd)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+
+
+def test_null_ids_take_no_part(spark):
+    text = "word " * 3 + " ".join(str(i) for i in range(40))
+    docs = spark.createDataFrame([(None, text), (2, text), (2, text), (None, None)], "doc_id long, text string")
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()} == {0}
+    assert {r.n_removed for r in phrases.locate_phrases(docs).collect()} == {0}
+    classes = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=repr)
+    assert classes == [(2, 2), (2, 2), (None, None), (None, None)]
+
+
+def test_near_duplicates(spark, none):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows, true, n = [], {}, 0
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(80, 300))]
+        for copy in range(rng.choice([1, 1, 3, 6])):
+            text = list(base)
+            if copy % 3:
+                text[rng.randrange(len(text))] = word()
+            rows.append((n, " ".join(text), "x", "y"))
+            true[n] = min(true.get(n, n), n - copy)
+            n += 1
+    rows += [(n, None, "", ""), (n + 1, "", "", ""), (n + 2, "few words", "", ""), (n + 3, "few words", "", "")]
+    true |= {n: n, n + 1: n, n + 2: n + 2, n + 3: n + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, bands string").repartition(4)
+    assert dict(minhash.near_duplicates(docs).collect()) == true
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(true.values())
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_weighted_sampling_estimates_similarity():
+    rng = np.random.default_rng(4)
+    value = rng.integers(0, 2**63, 400).astype(np.uint64)
+    a, b = rng.random(400) + 0.1, rng.random(400) + 0.1
+    doc = np.repeat([0, 1], 400)
+    estimates = []
+    for shift in range(20):
+        both = np.sort(minhash.mix(value, shift))
+        _, drawn = minhash.sample(doc, np.r_[both, both], np.r_[a, b])
+        estimates.append((drawn[0] == drawn[1]).mean())
+    assert abs(np.mean(estimates) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (3, 9), (8, 9), (20, 21), *[(100 + i, 101 + i) for i in range(30)]]
+    got = dict(minhash.components(spark.createDataFrame(links, "lead long, node long")).collect())
+    assert {got[i] for i in (1, 2, 3, 8, 9)} == {1} and got[21] == 20 and {got[100 + i] for i in range(31)} == {100}
+
+
+def test_token_files(spark, odd, none, tmp_path):
+    rows = sorted(odd_rows(), key=lambda r: r[0])
+    encode, at = Encoder(public_path("word_bpe_49k.json")), 0
+    want = []
+    for r in rows:
+        ids = encode([r[1]], 1)[0]
+        want.append((r[0], at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    assert sorted(map(tuple, token_files.token_file_digest(odd).collect())) == want
+    assert token_files.token_file_digest(none).count() == 0
+    manifest, dictionary = token_files.write_token_files(odd, str(tmp_path / "ids"))
+    name = manifest.orderBy("shard").first().name
+    one = token_files.Frames(str(tmp_path / "ids"), name, dictionary)
+    assert zlib.crc32(one.ids(1).tobytes()) == want[1][3]
+    with pytest.raises(ValueError):
+        token_files.Frames(str(tmp_path / "ids"), name, b"another dictionary")
+
+
+def test_factor_machine(spark, odd, none):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    got = factor_machine.classify(docs, labels, ("n_chars",)).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.97
+    assert factor_machine.classify(odd, labels.limit(0)).where("score is null or score < 0 or score > 1").count() == 0
+    assert factor_machine.classify(none, labels).count() == 0
+
+
+def test_pairs_in_linear_time():
+    rng = np.random.default_rng(1)
+    m = factor_machine.Machine(0.3, rng.normal(size=9), rng.normal(size=(9, 3)), np.zeros(0), np.ones(0))
+    at, x = np.array([1, 4, 7]), np.array([0.5, -1.0, 2.0])
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert abs(m.margin(at, x) - (0.3 + m.weights[at] @ x + pairs)) < 1e-9
+
+
+def test_transcripts(spark):
+    turns = table(spark, SF, "conversations")
+    rows = transcripts.format_chats(turns).join(turns.withColumnRenamed("role", "truth"), ["conv_id", "turn"]).where("held_out").collect()
+    assert np.mean([r.role == r.truth for r in rows]) > 0.95
+    assert all(r.rendered == f"<|{r.role}|>\n{r.text}\n<|end|>" for r in rows)
+    long = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"{'Q' if i % 2 == 0 else 'A'}: t{i}" if i % 5 else None) for i in range(700)] + [(None, None, "user", "x")], "conv_id long, turn long, role string, text string")
+    model = transcripts.fit(long)
+    whole = {r.turn: r.role for r in transcripts.parse(long, model, block=10_000).collect()}
+    assert {r.turn: r.role for r in transcripts.parse(long, model, block=16).collect()} == whole and len(whole) == 701
+    assert transcripts.parse(long.limit(0), model).count() == 0
