@@ -17,11 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import conf_during, discard, settle, small_batches
+from canvass.llm.common import conf_during, discard, settle, shuffle_parts, small_batches
 from canvass.llm.repeats import _ARROW, WordWindows, mix, open_part, write_parts
 
 WORDS = 5
 BANDS, ROWS = 12, 3
+LIKELY = 20  # of 36 samples that two texts share before they are compared
+VECTOR_BYTES = 150 << 20  # of decoded vectors that a task holds; the rest is decoded again when needed
 BUCKETS = 1 << 18
 _U = np.uint64
 _SPEC = WordWindows()
@@ -134,8 +136,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     not read.
 
     Equal texts are one node from the start, so a text with a third of all rows is one. In each
-    bucket the least node meets all others; those it does not link meet the least among them in the
-    next round, until every bucket is used up. No bucket is capped, none is expanded into all pairs.
+    bucket the least node meets all others, spread over tasks. Those it does not link are streamed
+    bucket by bucket: each meets the earlier ones that no one linked and that share 20 of its 36
+    samples at least, likest first. No bucket is capped, none is expanded into all pairs. A pair at
+    the threshold shares too few samples about once in 10,000 times, no band about once in 5,000.
     """
     spark = docs.sparkSession
     parts = write_parts(docs)
@@ -154,17 +158,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                     text = [xxhash.xxh3_128_digest(b) for b in part.bodies]
                     key = np.frombuffer(b"".join(text), "<i8").reshape(-1, 2)
                     lists: list = [None] * len(part.bodies)
+                    sigs: list = [None] * len(part.bodies)
                     for i, d in enumerate(doc.tolist()):
                         lists[d] = bands[i].view(np.int64).tolist()
+                        sigs[d] = drawn[i].astype("<u2").tobytes()
                     ids = pa.array([None if gone else x for x, gone in zip(part.ids.tolist(), part.null)], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["part"]] * len(lists), pa.int64()), ids, pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(lists, pa.list_(pa.int64()))],
-                        names=["part", "doc_id", "k1", "k2", "bands"],
+                        [pa.array([row["part"]] * len(lists), pa.int64()), ids, pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                        names=["part", "doc_id", "k1", "k2", "bands", "sig"],
                     )
 
-        signed = settle(parts.mapInArrow(sign, "part long, doc_id long, k1 long, k2 long, bands array<long>"))
+        signed = settle(parts.mapInArrow(sign, "part long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"))
     known = signed.where("doc_id is not null")
-    nodes = settle(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "part", "bands")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("node"), "x.part", "x.bands"))
+    nodes = settle(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "part", "bands", "sig")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("node"), "x.part", "x.bands", "x.sig"))
     members = nodes.select("node", "part", F.posexplode("bands").alias("band", "hash"))
     leaders = members.groupBy("band", "hash").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(members.join(leaders, ["band", "hash"]))
@@ -206,22 +212,61 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 likeness.append(weighted_jaccard(one, shingles(tok, np.array([len(tok)]), idf.value)[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(node, pa.int64()), pa.array(likeness, pa.float64())], names=["lead", "node", "likeness"])
 
-    links, rounds = None, 0
-    while True:
-        rounds += 1
-        pairs = members.where("node <> lead").select("lead", "node").distinct()
-        if links is not None:  # a pair met before is not met again
-            pairs = pairs.join(links.select("lead", "node"), ["lead", "node"], "left_anti")
-        texts = pairs.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
-        judged = settle(texts.select("lead", "node", "x", "y").mapInArrow(verify, "lead long, node long, likeness double"))
-        links = judged if links is None else settle(links.unionByName(judged))
-        good = links.where(F.col("likeness") >= threshold).select("lead", "node")
-        rest = members.where("node <> lead").join(good, ["lead", "node"], "left_anti").drop("lead")
-        again = rest.groupBy("band", "hash").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        members = settle(rest.join(again, ["band", "hash"]))
-        if members.isEmpty():
-            break
-    labels = components(settle(links.where(F.col("likeness") >= threshold).select("lead", "node")))
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a bucket one after another: each meets the earlier ones that none linked, likest first."""
+        plain, at = zstandard.ZstdDecompressor().decompress, None
+        leads: list[tuple[int, bytes]] = []
+        sigs = np.zeros((0, BANDS * ROWS), "<u2")
+        kept: dict[int, tuple] = {}
+        held = 0
+
+        def decode(body: bytes) -> tuple:
+            tok = _SPEC.tokens([plain(body)])[0]
+            return shingles(tok, np.array([len(tok)]), idf.value)[1:]
+
+        def vector(node: int, body: bytes) -> tuple:
+            nonlocal held
+            found = kept.get(node) or decode(body)
+            if node not in kept and held < VECTOR_BYTES:
+                kept[node] = found
+                held += 16 * len(found[0])
+            return found
+
+        for batch in small_batches(batches):
+            out = []
+            for band, code, node, sig, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if (band, code) != at:
+                    at, leads, sigs, held = (band, code), [], np.zeros((64, BANDS * ROWS), "<u2"), 0
+                    kept.clear()
+                mine = np.frombuffer(sig, "<u2")
+                same = (sigs[: len(leads)] == mine).sum(axis=1)
+                linked, own = False, decode(body)
+                for i in np.argsort(-same, kind="stable")[: int((same >= LIKELY).sum())].tolist():
+                    likeness = weighted_jaccard(vector(*leads[i]), own)
+                    if likeness >= threshold:
+                        out.append((leads[i][0], node, likeness))
+                        linked = True
+                        break
+                if not linked:
+                    if len(leads) == len(sigs):
+                        sigs = np.concatenate([sigs, np.zeros_like(sigs)])
+                    sigs[len(leads)] = mine
+                    leads.append((node, body))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["lead", "node", "likeness"])
+
+    pairs = members.where("node <> lead").select("lead", "node").distinct()
+    texts = pairs.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
+    judged = settle(texts.select("lead", "node", "x", "y").mapInArrow(verify, "lead long, node long, likeness double"))
+    good = judged.where(F.col("likeness") >= threshold).select("lead", "node")
+    rest = members.where("node <> lead").join(good, ["lead", "node"], "left_anti").select("band", "hash", "node")
+    several = rest.groupBy("band", "hash").count().where("count > 1").select("band", "hash")
+    rest = settle(rest.join(several, ["band", "hash"]))
+    ready = rest.join(nodes.select("node", "sig"), "node").join(bodies, "node").select("band", "hash", "node", "sig", "body")
+    spread = ready.repartition(shuffle_parts(spark), "band", "hash").sortWithinPartitions("band", "hash", "node")
+    more = spread.mapInArrow(gather, "lead long, node long, likeness double").select("lead", "node")
+    links = settle(good.unionByName(more).distinct())
+    labels = components(links)
     classed = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return known.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("doc_id", "class_id").unionByName(
         signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
