@@ -79,10 +79,12 @@ def sample(doc: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.n
     Per sample and shingle: t = floor(log w / r + b), log a = log c - r (t - b) - r; the shingle with the
     least a is drawn, together with its t.
     """
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    if not len(doc):
+        return doc, np.zeros((0, len(_ODD)), _U)
+    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     out = np.zeros((len(edge), len(_ODD)), _U)
     log_w = np.log(weight).astype(np.float32)
-    row = np.cumsum(np.r_[True, doc[1:] != doc[:-1]][: len(doc)]) - 1
+    row = np.cumsum(np.r_[True, doc[1:] != doc[:-1]]) - 1
     for k, odd in enumerate(_ODD):
         h = value * odd
         r = _R[(h >> _U(52)).astype(np.int64)]
