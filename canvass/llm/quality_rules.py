@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import words_of
+from canvass.llm.common import settle, words_of
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -146,6 +146,10 @@ def rule_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    ruled = apply_rules(docs, rules)
+    """The documents that pass, with their own columns.
+
+    The verdicts are written first: a filter pushed below the projection would copy its expressions
+    into each other.
+    """
+    ruled = settle(apply_rules(docs, rules))
     return ruled.where(F.col(f"{ruled.columns[-1]}.kept")).drop(ruled.columns[-1])
