@@ -13,8 +13,13 @@ LIKERT_SCALES = (
     ("非常认同", "比较认同", "一般", "比较不认同", "非常不认同"),
     ("非常にそう思う", "ややそう思う", "どちらともいえない", "あまりそう思わない", "全くそう思わない"),
 )
+# Fixed value: the characters that trimming removes, as literal characters for strip and btrim.
+TRIMMED = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # Fixed value: text a spreadsheet would run as a formula.
-FORMULA_PREFIX = r"(?U)^[\s\x00-\x1f]*[=+\-@]"
+FORMULA_PREFIX = rf"^[{TRIMMED}\x00-\x1f]*[=+\-@]"
 
 
 def label_keys(values: Column) -> Column:
@@ -27,14 +32,14 @@ def label_keys(values: Column) -> Column:
         return batch.map(
             lambda items: None
             if items is None
-            else [None if v is None else unicodedata.normalize("NFKC", v).strip() for v in items]
+            else [None if v is None else unicodedata.normalize("NFKC", v).strip(TRIMMED) for v in items]
         )
 
     return normal_forms(values)
 
 
 def likert_label(label: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
+    return F.lower(F.regexp_replace(F.btrim(label, F.lit(TRIMMED)), f"[{TRIMMED}]+", " "))
 
 
 def likert_score_of(label_key: Column, scale: int) -> Column:

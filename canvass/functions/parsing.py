@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Answer formats and numeric bounds.
-ORDINAL_PATTERN = r"^-?[0-9]+$"
-DATE_PATTERN = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
-DATETIME_PATTERN = r"^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2})$"
-YEARLESS_DATE_PATTERN = r"^([0-9]{2})-([0-9]{2})$"
-YEARLESS_DATETIME_PATTERN = r"^([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2})$"
-TIME_PATTERN = r"^([0-9]{2}):([0-9]{2})$"
-EXPORT_TIME_PATTERN = r"^([0-9]+):([0-9]{2})$"
+# Answer formats and numeric bounds. \z, not $: Java lets $ match before a final line break.
+ORDINAL_PATTERN = r"^-?[0-9]+\z"
+DATE_PATTERN = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
+DATETIME_PATTERN = r"^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2})\z"
+YEARLESS_DATE_PATTERN = r"^([0-9]{2})-([0-9]{2})\z"
+YEARLESS_DATETIME_PATTERN = r"^([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2})\z"
+TIME_PATTERN = r"^([0-9]{2}):([0-9]{2})\z"
+EXPORT_TIME_PATTERN = r"^([0-9]+):([0-9]{2})\z"
 MAX_SAFE_INTEGER = 9007199254740991
 LEAP_YEAR_FOR_YEARLESS_DATES = 2000
 

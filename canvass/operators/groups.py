@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.functions.labels import TRIMMED
 from canvass.functions.slots import canonical_cell, group_value
+from canvass.scale import prefix_sums
 from canvass.schema import ANSWERED
 
 GROUPABLE = ("single_choice", "text")
@@ -54,6 +56,11 @@ def value_page(values: DataFrame, size: int = 80) -> DataFrame:
     return ranked.withColumn("has_more", more).where(F.col("rank") <= size)
 
 
+def ranked_values(values: DataFrame) -> DataFrame:
+    """All values with their ``rank`` by (count desc, value), numbered over range partitions."""
+    return prefix_sums(values, [F.desc("count"), "value"], {"rank": F.lit(1).cast("long")})
+
+
 def clean_groups(groups: DataFrame) -> DataFrame:
     """Trim names and drop empty and repeated members, keeping first positions.
 
@@ -62,7 +69,7 @@ def clean_groups(groups: DataFrame) -> DataFrame:
     """
     members = F.array_distinct(F.filter("members", lambda m: F.length(m) > 0))
     return groups.select(
-        "form_id", "group_id", "question_id", F.trim("name").alias("name"), members.alias("members")
+        "form_id", "group_id", "question_id", F.btrim(F.col("name"), F.lit(TRIMMED)).alias("name"), members.alias("members")
     ).withColumn(
         "error",
         F.when(F.col("name") == "", "name_required").when(F.size("members") == 0, "members_required"),

@@ -169,7 +169,8 @@ def raw_value_search(spark, sf_dir):
    SELECT event_id, 'int' AS conv, json_extract_string(props, '$.k') AS raw FROM events
    UNION ALL SELECT event_id, 'float', json_extract_string(props, '$.k') || '.0' FROM events
    UNION ALL SELECT event_id, 'negative', '-' || json_extract_string(props, '$.k') FROM events
-   UNION ALL SELECT event_id, 'padded', ' ' || json_extract_string(props, '$.k') FROM events))""")
+   UNION ALL SELECT event_id, 'padded', ' ' || json_extract_string(props, '$.k') FROM events
+   UNION ALL SELECT event_id, 'newline', json_extract_string(props, '$.k') || chr(10) FROM events))""")
 def ordinal_parse(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     raws = F.array(
@@ -177,6 +178,7 @@ def ordinal_parse(spark, sf_dir):
         F.struct(F.lit("float").alias("conv"), F.concat(k, F.lit(".0")).alias("raw")),
         F.struct(F.lit("negative").alias("conv"), F.concat(F.lit("-"), k).alias("raw")),
         F.struct(F.lit("padded").alias("conv"), F.concat(F.lit(" "), k).alias("raw")),
+        F.struct(F.lit("newline").alias("conv"), F.concat(k, F.lit("\n")).alias("raw")),
     )
     rows = field.table(spark, sf_dir, "events").select("event_id", F.inline(raws))
     parsed = rows.withColumn("p", Q.parse_ordinal(c("raw"), F.lit(1), F.lit(60)))
@@ -192,6 +194,7 @@ def calendar_dates(spark, sf_dir):
 
 @query("scl03", """SELECT o_orderkey, shape, CASE WHEN ok THEN raw END AS value, NOT ok AS rejected FROM (
   SELECT o_orderkey, 'ymd' AS shape, CAST(o_orderdate AS DATE)::VARCHAR AS raw, TRUE AS ok FROM orders
+  UNION ALL SELECT o_orderkey, 'newline', CAST(o_orderdate AS DATE)::VARCHAR || chr(10), FALSE FROM orders
   UNION ALL SELECT o_orderkey, 'ymdhm', strftime(o_orderdate, '%Y-%m-%d') || ' 24:00', FALSE FROM orders
   UNION ALL SELECT o_orderkey, 'md', strftime(o_orderdate, '%m-%d'), TRUE FROM orders
   UNION ALL SELECT o_orderkey, 'mdhm', strftime(o_orderdate, '%m') || '-31 23:59', strftime(o_orderdate, '%m') IN ('01', '03', '05', '07', '08', '10', '12') FROM orders)""")
@@ -202,6 +205,7 @@ def date_answers(spark, sf_dir):
     day = c("o_orderdate")
     rows = field.table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(
         shape("ymd", F.date_format(day, "yyyy-MM-dd"), True, False),
+        shape("newline", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("\n")), True, False),
         shape("ymdhm", F.date_format(day, "yyyy-MM-dd' 24:00'"), True, True),
         shape("md", F.date_format(day, "MM-dd"), False, False),
         shape("mdhm", F.concat(F.date_format(day, "MM"), F.lit("-31 23:59")), False, True),
@@ -210,16 +214,18 @@ def date_answers(spark, sf_dir):
     return parsed.select("o_orderkey", "shape", c("p.value").alias("value"), c("p.error").isNotNull().alias("rejected"))
 
 
-@query("scl04", """SELECT p_partkey, duration, CASE WHEN ok THEN raw END AS value, NOT ok AS rejected FROM (
-   SELECT p_partkey, duration, printf('%02d:%02d', p_size, m) AS raw, m <= 59 AND (duration OR p_size <= 23) AS ok FROM (
-    SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size, CAST(p_partkey % 70 AS INTEGER) AS m, unnest([TRUE, FALSE]) AS duration FROM part))""")
+@query("scl04", """SELECT p_partkey, duration, newline, CASE WHEN ok THEN raw END AS value, NOT ok AS rejected FROM (
+   SELECT p_partkey, duration, newline, printf('%02d:%02d', p_size, m) AS raw, NOT newline AND m <= 59 AND (duration OR p_size <= 23) AS ok FROM (
+    SELECT p_partkey, unnest([TRUE, TRUE, FALSE, FALSE]) AS newline, CAST(p_size AS INTEGER) AS p_size, CAST(p_partkey % 70 AS INTEGER) AS m, unnest([TRUE, FALSE, TRUE, FALSE]) AS duration FROM part))""")
 def time_answers(spark, sf_dir):
     raw = F.format_string("%02d:%02d", c("p_size"), (c("p_partkey") % 70).cast("int"))
     rows = field.table(spark, sf_dir, "part").select(
-        "p_partkey", raw.alias("raw"), F.explode(F.array(F.lit(True), F.lit(False))).alias("duration")
-    )
+        "p_partkey", raw.alias("raw"), F.inline(F.array(*[
+            F.struct(F.lit(d).alias("duration"), F.lit(n).alias("newline")) for n in (True, False) for d in (True, False)
+        ]))
+    ).withColumn("raw", F.when(c("newline"), F.concat("raw", F.lit("\n"))).otherwise(c("raw")))
     parsed = rows.withColumn("p", Q.parse_time(c("raw"), c("duration")))
-    return parsed.select("p_partkey", "duration", c("p.value").alias("value"), c("p.error").isNotNull().alias("rejected"))
+    return parsed.select("p_partkey", "duration", "newline", c("p.value").alias("value"), c("p.error").isNotNull().alias("rejected"))
 
 
 # Likert: each customer's form asks one agreement question whose labels come in one of the scales.
@@ -421,7 +427,7 @@ def group_overlaps(spark, sf_dir):
 
 @query("sort02", """SELECT 'documents' AS form_id, source AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source""")
 def text_values_by_frequency(spark, sf_dir):
-    return G.value_page(_source_values(spark, sf_dir), size=1 << 20).select("form_id", "value", "count", "rank")
+    return G.ranked_values(_source_values(spark, sf_dir)).select("form_id", "value", "count", "rank")
 
 
 def _source_values(spark, sf_dir):
