@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.common import conf_during, discard, settle, shuffle_parts, small_batches
-from canvass.llm.repeats import _ARROW, WordWindows, mix, open_part, write_parts
+from canvass.llm.repeats import _ARROW, ByteWindows, WordWindows, mix, open_part, write_parts
 
 WORDS = 5
 BANDS, ROWS = 12, 3
@@ -26,7 +26,7 @@ LIKELY = 20  # of 36 samples that two texts share before they are compared
 VECTOR_BYTES = 150 << 20  # of decoded vectors that a task holds; the rest is decoded again when needed
 BUCKETS = 1 << 18
 _U = np.uint64
-_SPEC = WordWindows()
+_SPEC, _BYTES = WordWindows(), ByteWindows()
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,10 +138,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     not read.
 
     Equal texts are one node from the start, so a text with a third of all rows is one. In each
-    bucket the least node meets all others, spread over tasks. Those it does not link are streamed
-    bucket by bucket: each meets the earlier ones that no one linked and that share 20 of its 36
-    samples at least, likest first. No bucket is capped, none is expanded into all pairs. A pair at
-    the threshold shares too few samples about once in 10,000 times, no band about once in 5,000.
+    bucket the least node meets all others, spread over tasks; two nodes are compared if they share
+    20 of their 36 samples at least, and only texts that are compared travel. Those it does not link
+    are streamed bucket by bucket: each meets the earlier ones that no one linked, likest first. No
+    bucket is capped, none is expanded into all pairs. A pair at the threshold shares too few
+    samples about once in 10,000 times, no band about once in 5,000.
     """
     spark = docs.sparkSession
     parts = write_parts(docs)
@@ -173,25 +174,54 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         signed = settle(parts.mapInArrow(sign, "part long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"))
     known = signed.where("doc_id is not null")
     nodes = settle(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "part", "bands", "sig")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("node"), "x.part", "x.bands", "x.sig"))
-    members = nodes.select("node", "part", F.posexplode("bands").alias("band", "hash"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     leaders = members.groupBy("band", "hash").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(members.join(leaders, ["band", "hash"]))
 
-    with conf_during(spark, {_ARROW: "4"}):
-        asked = members.groupBy("part").agg(F.collect_set("node").alias("asked"))
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node, body (compressed) of the nodes asked for; ``wanted`` has node."""
 
         def show(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             squeeze = zstandard.ZstdCompressor(level=3).compress
             for batch in batches:
                 for row in batch.to_pylist():
-                    part, want = open_part(row, _SPEC), set(row["asked"])
+                    part, want = open_part(row, _BYTES), set(row["asked"])
                     found = {i: b for i, b, gone in zip(part.ids.tolist(), part.bodies, part.null) if i in want and not gone}
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(found), pa.int64()), pa.array([squeeze(b) for b in found.values()], pa.binary())], names=["node", "body"]
                     )
 
-        bodies = settle(parts.join(asked, "part").mapInArrow(show, "node long, body binary"))
-    discard(parts)
+        asked = wanted.join(nodes.select("node", "part"), "node").groupBy("part").agg(F.collect_set("node").alias("asked"))
+        with conf_during(spark, {_ARROW: "4"}):
+            return settle(parts.join(asked, "part").mapInArrow(show, "node long, body binary"))
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
+            yield batch.select(["lead", "node"]).filter(pa.array((x == y).sum(axis=1) >= LIKELY))
+
+    def not_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a bucket, one after another: those that share enough samples with another one of it."""
+        at: tuple | None = None
+        n, sigs = 0, np.zeros((0, BANDS * ROWS), "<u2")
+        alone: dict[int, int] = {}
+        for batch in small_batches(batches):
+            out = []
+            for band, code, node, sig in zip(*[c.to_pylist() for c in batch.columns]):
+                if (band, code) != at:
+                    at, n, sigs, alone = (band, code), 0, np.zeros((64, BANDS * ROWS), "<u2"), {}
+                mine = np.frombuffer(sig, "<u2")
+                near = np.flatnonzero((sigs[:n] == mine).sum(axis=1) >= LIKELY).tolist()
+                if near:
+                    out += [(band, code, alone.pop(i)) for i in near if i in alone] + [(band, code, node)]
+                else:
+                    alone[n] = node
+                if n == len(sigs):
+                    sigs = np.concatenate([sigs, np.zeros_like(sigs)])
+                sigs[n] = mine
+                n += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()))], names=["band", "hash", "node"])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor().decompress
@@ -257,17 +287,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["lead", "node", "likeness"])
 
-    pairs = members.where("node <> lead").select("lead", "node").distinct()
-    texts = pairs.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
+    sigs = nodes.select("node", "sig")
+    pairs = members.where("node <> lead").select("lead", "node").distinct().join(sigs.withColumnRenamed("sig", "y"), "node").join(
+        sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead"
+    )
+    close = settle(pairs.select("lead", "node", "x", "y").mapInArrow(likely, "lead long, node long"))
+    bodies = texts_of(close.select("node").union(close.select("lead")).distinct())
+    texts = close.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
     judged = settle(texts.select("lead", "node", "x", "y").mapInArrow(verify, "lead long, node long, likeness double"))
+    discard(bodies, close)
     good = judged.where(F.col("likeness") >= threshold).select("lead", "node")
-    rest = members.where("node <> lead").join(good, ["lead", "node"], "left_anti").select("band", "hash", "node")
+    rest = settle(members.where("node <> lead").join(good, ["lead", "node"], "left_anti").select("band", "hash", "node"))
     several = rest.groupBy("band", "hash").count().where("count > 1").select("band", "hash")
-    rest = settle(rest.join(several, ["band", "hash"]))
-    ready = rest.join(nodes.select("node", "sig"), "node").join(bodies, "node").select("band", "hash", "node", "sig", "body")
-    spread = ready.repartition(shuffle_parts(spark), "band", "hash").sortWithinPartitions("band", "hash", "node")
-    more = spread.mapInArrow(gather, "lead long, node long, likeness double").select("lead", "node")
+    met = rest.join(several, ["band", "hash"]).join(sigs, "node").select("band", "hash", "node", "sig")
+    in_buckets = lambda df: df.repartition(shuffle_parts(spark), "band", "hash").sortWithinPartitions("band", "hash", "node")
+    left = settle(in_buckets(met).mapInArrow(not_alone, "band int, hash long, node long"))
+    bodies = texts_of(left.select("node").distinct())
+    ready = left.join(sigs, "node").join(bodies, "node").select("band", "hash", "node", "sig", "body")
+    more = in_buckets(ready).mapInArrow(gather, "lead long, node long, likeness double").select("lead", "node")
     links = settle(good.unionByName(more).distinct())
+    discard(parts, bodies)
     labels = components(links)
     classed = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return known.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("doc_id", "class_id").unionByName(
