@@ -2,8 +2,8 @@
 
 A shingle is five consecutive words; its weight is its count in the text times the mean inverse document
 frequency of its words, counted over all documents in hashed buckets of a fixed number. Samples are cut
-into bands; documents that share a band meet its least document, and every meeting is verified by the
-weighted Jaccard similarity of the whole texts before it is a link.
+into bands; documents that share a band meet its least document, and then all those of it that are not yet
+in one class. Every meeting is verified by the weighted Jaccard similarity of the whole texts before it is a link.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from canvass.llm.repeats import _ARROW, ByteWindows, WordWindows, mix, open_part
 WORDS = 5
 BANDS, ROWS = 12, 3
 LIKELY = 20  # of 36 samples that two texts share before they are compared
-VECTOR_BYTES = 150 << 20  # of decoded vectors that a task holds; the rest is decoded again when needed
+BLOCK = 1024  # members of a bucket that meet so many others of it in one row of work
+FIRST = 8  # pairs of a node from two blocks in the first round; eight times as many in each further one
 BUCKETS = 1 << 18
 _U = np.uint64
 _SPEC, _BYTES = WordWindows(), ByteWindows()
@@ -108,6 +109,49 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def meet(most: int):
+    """Pairs of two blocks (x, y), or of one with itself, that are in different classes and share enough samples.
+
+    Of each node at most ``most`` pairs are given, likest first; a pair of nulls says that some were held back.
+    """
+
+    def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells = column[i].values
+        sig = np.frombuffer(b"".join(cells.field("sig").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+        return cells.field("node").to_numpy(), cells.field("label").to_numpy(), sig
+
+    def rank(score: np.ndarray) -> np.ndarray:
+        return np.argsort(np.argsort(-score, axis=1, kind="stable"), axis=1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back = False
+        for batch in batches:
+            xs, ys = batch.columns
+            for i in range(batch.num_rows):
+                node, label, x = unpack(xs, i)
+                itself = not ys[i].is_valid
+                other, others, y = (node, label, x) if itself else unpack(ys, i)
+                near = label[:, None] != others
+                if not near.any():
+                    continue
+                same = np.zeros(near.shape, np.int8)
+                for a, b in zip(x.T, y.T):
+                    same += a[:, None] == b
+                near &= same >= LIKELY
+                if max(near.sum(axis=0).max(), near.sum(axis=1).max()) > most:
+                    same[~near] = 0
+                    near &= (rank(same) < most) & (rank(same.T).T < most)
+                    held_back = True
+                a, b = np.nonzero(np.triu(near) if itself else near)
+                if len(a):
+                    a, b = node[a], other[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["lead", "node"])
+        if held_back:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["lead", "node"])
+
+    return run
+
+
 def _idf(parts: DataFrame) -> np.ndarray:
     """Inverse document frequency per word bucket, over all documents; at most BUCKETS rows reach the driver."""
 
@@ -139,10 +183,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Equal texts are one node from the start, so a text with a third of all rows is one. In each
     bucket the least node meets all others, spread over tasks; two nodes are compared if they share
-    20 of their 36 samples at least, and only texts that are compared travel. Those it does not link
-    are streamed bucket by bucket: each meets the earlier ones that no one linked, likest first. No
-    bucket is capped, none is expanded into all pairs. A pair at the threshold shares too few
-    samples about once in 10,000 times, no band about once in 5,000.
+    20 of their 36 samples at least, and only texts that are compared travel. Then the others of a
+    bucket meet each other, linked or not, unless they are in one class by now: signatures block
+    against block, in rounds that give the likest pairs of a node first, until none is held back. No
+    bucket is capped. A pair at the threshold shares too few samples about once in 10,000 times, no
+    band about once in 5,000.
     """
     spark = docs.sparkSession
     parts = write_parts(docs)
@@ -200,29 +245,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
             yield batch.select(["lead", "node"]).filter(pa.array((x == y).sum(axis=1) >= LIKELY))
 
-    def not_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of a bucket, one after another: those that share enough samples with another one of it."""
-        at: tuple | None = None
-        n, sigs = 0, np.zeros((0, BANDS * ROWS), "<u2")
-        alone: dict[int, int] = {}
-        for batch in small_batches(batches):
-            out = []
-            for band, code, node, sig in zip(*[c.to_pylist() for c in batch.columns]):
-                if (band, code) != at:
-                    at, n, sigs, alone = (band, code), 0, np.zeros((64, BANDS * ROWS), "<u2"), {}
-                mine = np.frombuffer(sig, "<u2")
-                near = np.flatnonzero((sigs[:n] == mine).sum(axis=1) >= LIKELY).tolist()
-                if near:
-                    out += [(band, code, alone.pop(i)) for i in near if i in alone] + [(band, code, node)]
-                else:
-                    alone[n] = node
-                if n == len(sigs):
-                    sigs = np.concatenate([sigs, np.zeros_like(sigs)])
-                sigs[n] = mine
-                n += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()))], names=["band", "hash", "node"])
-
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor().decompress
         kept: dict[int, tuple] = {}
@@ -244,70 +266,57 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 likeness.append(weighted_jaccard(one, shingles(tok, np.array([len(tok)]), idf.value)[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(node, pa.int64()), pa.array(likeness, pa.float64())], names=["lead", "node", "likeness"])
 
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of a bucket one after another: each meets the earlier ones that none linked, likest first."""
-        plain, at = zstandard.ZstdDecompressor().decompress, None
-        leads: list[tuple[int, bytes]] = []
-        sigs = np.zeros((0, BANDS * ROWS), "<u2")
-        kept: dict[int, tuple] = {}
-        held = 0
-
-        def decode(body: bytes) -> tuple:
-            tok = _SPEC.tokens([plain(body)])[0]
-            return shingles(tok, np.array([len(tok)]), idf.value)[1:]
-
-        def vector(node: int, body: bytes) -> tuple:
-            nonlocal held
-            found = kept.get(node) or decode(body)
-            if node not in kept and held < VECTOR_BYTES:
-                kept[node] = found
-                held += 16 * len(found[0])
-            return found
-
-        for batch in small_batches(batches):
-            out = []
-            for band, code, node, sig, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if (band, code) != at:
-                    at, leads, sigs, held = (band, code), [], np.zeros((64, BANDS * ROWS), "<u2"), 0
-                    kept.clear()
-                mine = np.frombuffer(sig, "<u2")
-                same = (sigs[: len(leads)] == mine).sum(axis=1)
-                linked, own = False, decode(body)
-                for i in np.argsort(-same, kind="stable")[: int((same >= LIKELY).sum())].tolist():
-                    likeness = weighted_jaccard(vector(*leads[i]), own)
-                    if likeness >= threshold:
-                        out.append((leads[i][0], node, likeness))
-                        linked = True
-                        break
-                if not linked:
-                    if len(leads) == len(sigs):
-                        sigs = np.concatenate([sigs, np.zeros_like(sigs)])
-                    sigs[len(leads)] = mine
-                    leads.append((node, body))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["lead", "node", "likeness"])
+    def judge(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (lead, node), which are settled."""
+        bodies = texts_of(pairs.select("node").union(pairs.select("lead")).distinct())
+        texts = pairs.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
+        judged = settle(texts.select("lead", "node", "x", "y").mapInArrow(verify, "lead long, node long, likeness double"))
+        discard(bodies)
+        return judged.where(F.col("likeness") >= threshold).select("lead", "node")
+
+    def across(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several classes, in blocks of about BLOCK; a bucket's lead has met all of it."""
+        rest = settle(
+            members.where("node <> lead").join(labels, "node", "left").select("band", "hash", "node", F.coalesce("label", "node").alias("label"))
+        )
+        mixed = rest.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        mixed = mixed.where("low < high").select("band", "hash", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        cells = rest.join(mixed, ["band", "hash"]).join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return settle(cells.groupBy("band", "hash", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "sig")).alias("x")))
+
+    def meetings(blocks: DataFrame) -> DataFrame:
+        """x, y: each block with itself (y is null), and each two blocks of a bucket."""
+        own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+        several = blocks.where("blocks > 1")
+        if several.isEmpty():
+            return own
+        one = several.where("block + 1 < blocks").select("band", "hash", F.col("block").alias("i"), F.expr("explode(sequence(block + 1, blocks - 1))").alias("j"), "x")
+        two = several.where("block > 0").select("band", "hash", F.expr("explode(sequence(0L, block - 1))").alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
+        return own.unionByName(one.join(two, ["band", "hash", "i", "j"]).select("x", "y"))
 
+    sigs = nodes.select("node", "sig")
     sigs = nodes.select("node", "sig")
     pairs = members.where("node <> lead").select("lead", "node").distinct().join(sigs.withColumnRenamed("sig", "y"), "node").join(
         sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead"
     )
     close = settle(pairs.select("lead", "node", "x", "y").mapInArrow(likely, "lead long, node long"))
-    bodies = texts_of(close.select("node").union(close.select("lead")).distinct())
-    texts = close.join(bodies.withColumnRenamed("body", "y"), "node").join(bodies.select(F.col("node").alias("lead"), F.col("body").alias("x")), "lead")
-    judged = settle(texts.select("lead", "node", "x", "y").mapInArrow(verify, "lead long, node long, likeness double"))
-    discard(bodies, close)
-    good = judged.where(F.col("likeness") >= threshold).select("lead", "node")
-    rest = settle(members.where("node <> lead").join(good, ["lead", "node"], "left_anti").select("band", "hash", "node"))
-    several = rest.groupBy("band", "hash").count().where("count > 1").select("band", "hash")
-    met = rest.join(several, ["band", "hash"]).join(sigs, "node").select("band", "hash", "node", "sig")
-    in_buckets = lambda df: df.repartition(shuffle_parts(spark), "band", "hash").sortWithinPartitions("band", "hash", "node")
-    left = settle(in_buckets(met).mapInArrow(not_alone, "band int, hash long, node long"))
-    bodies = texts_of(left.select("node").distinct())
-    ready = left.join(sigs, "node").join(bodies, "node").select("band", "hash", "node", "sig", "body")
-    more = in_buckets(ready).mapInArrow(gather, "lead long, node long, likeness double").select("lead", "node")
-    links = settle(good.unionByName(more).distinct())
-    discard(parts, bodies)
-    labels = components(links)
+    labels, tried, most = components(judge(close)), close, FIRST
+    blocks = across(labels)
+    while not blocks.isEmpty():
+        with conf_during(spark, {_ARROW: "256"}):
+            met = settle(meetings(blocks).mapInArrow(meet(most), "lead long, node long"))
+        new = settle(met.where("lead is not null").distinct().join(tried, ["lead", "node"], "left_anti"))
+        held_back = not met.where("lead is null").isEmpty()
+        discard(blocks, met)
+        if not new.isEmpty():
+            more = judge(new)
+            if not more.isEmpty():
+                labels = merge(labels, more)
+        if not held_back:
+            break
+        tried, most = tried.unionByName(new), most * 8
+        blocks = across(labels)
+    discard(parts)
     classed = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return known.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("doc_id", "class_id").unionByName(
         signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
@@ -331,6 +340,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of ``components`` after further links, which are followed between classes only."""
+    ends = links
+    for end in ("lead", "node"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias("__label"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("__label", end)).drop("__label")
+    step = components(ends)
+    moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    fresh = step.join(labels.select("node"), "node", "left_anti")
+    return settle(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(fresh.select("node", "label")))
+
+
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class, or null. doc_id is taken as a key."""
     gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()

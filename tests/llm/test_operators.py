@@ -217,6 +217,52 @@ def test_near_duplicates(spark, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def linked_classes(texts):
+    """Classes of (id, text) by brute force: every pair's weighted Jaccard, weights as the operator counts them."""
+    tok = [minhash._SPEC.tokens([t.encode()])[0] for _, t in texts]
+    seen = sum(np.bincount(np.unique((w % np.uint64(minhash.BUCKETS)).astype(int)), minlength=minhash.BUCKETS) for w in tok)
+    idf = (np.log((1 + len(texts)) / (1 + seen)) + 1).astype(np.float32)
+    vectors = [minhash.shingles(w, np.array([len(w)]), idf)[1:] for w in tok]
+    label, likeness = {i: i for i, _ in texts}, {}
+    for a, (i, _) in enumerate(texts):
+        for b in range(a):
+            j = texts[b][0]
+            likeness[i, j] = minhash.weighted_jaccard(vectors[a], vectors[b])
+            if likeness[i, j] >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label, likeness
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 16, "FIRST": 2}])
+def test_links_of_linked_nodes(spark, monkeypatch, sizes):
+    """Copies that are like their base and not like each other, the base in the middle or last; chains."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(11)
+    new = lambda: f"w{rng.randrange(10**9)}"
+
+    def edited(words, places):
+        return [new() if i in places else w for i, w in enumerate(words)]
+
+    texts = []
+    for start, at in ((0, 15), (1000, 30)):
+        base = [new() for _ in range(1000)]
+        for i in range(31):
+            # each edit changes five shingles: 18 edits are a similarity of about 0.83 to the base, of 0.71 to each other
+            texts.append((start + i, " ".join(base if i == at else edited(base, set(rng.sample(range(5, 990), 18))))))
+    ids = rng.sample(range(2000, 2012), 12)
+    words = [new() for _ in range(1000)]
+    for i in ids:
+        texts.append((i, " ".join(words)))
+        words = edited(words, set(rng.sample(range(5, 990), 16)))
+    true, likeness = linked_classes(texts)
+    assert len(set(true.values())) == 3 and sum(x < 0.8 for x in likeness.values()) > len(likeness) // 2
+    assert not any(0.795 < x < 0.805 for x in likeness.values())
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert dict(minhash.near_duplicates(docs).collect()) == true
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(4)
     value = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -236,6 +282,12 @@ def test_components(spark):
     assert {got[i] for i in (1, 2, 3, 8, 9)} == {1} and got[21] == 20 and {got[100 + i] for i in range(31)} == {100}
 
 
+def test_merged_components(spark):
+    frame = lambda links: spark.createDataFrame(links, "lead long, node long")
+    got = dict(minhash.merge(minhash.components(frame([(5, 6), (7, 8), (1, 2)])), frame([(6, 8), (3, 7), (2, 9), (10, 11)])).collect())
+    assert got == {3: 3, 5: 3, 6: 3, 7: 3, 8: 3, 1: 1, 2: 1, 9: 1, 10: 10, 11: 10}
+
+
 def test_token_files(spark, odd, none, tmp_path):
     rows = sorted(odd_rows(), key=lambda r: r[0])
     encode, at = Encoder(public_path("word_bpe_49k.json")), 0
