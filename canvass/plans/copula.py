@@ -120,8 +120,9 @@ def fit(
                 f"__z_{x}", F.element_at(F.create_map(*pairs), F.coalesce(F.col(x).cast("string"), F.lit("\0")))
             )
         else:
-            own = levels.where(F.col("column") == x).select(F.col("value").alias(x), F.col("z").alias(f"__z_{x}"))
-            scored = scored.join(own, x, "left")
+            # A missing score is a level too; levels are text, as in the literals.
+            own = levels.where(F.col("column") == x).select(F.col("value").alias("__level"), F.col("z").alias(f"__z_{x}"))
+            scored = scored.join(own, F.col(x).cast("string").eqNullSafe(F.col("__level")), "left").drop("__level")
     if time_column:
         scored = scored.withColumn(f"__z_{time_column}", _time_score(time_column, grid))
     k = len(columns)

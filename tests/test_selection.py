@@ -1,7 +1,9 @@
 """Literal selection and replacement cases with known best answers."""
 
+import numpy as np
 import pytest
 
+from canvass.plans import copula
 from canvass.plans import pipeline as PL
 from canvass.plans import selection as SEL
 from canvass.plans import vectors as V
@@ -129,3 +131,17 @@ def test_mean_end_to_end(spark):
     assert done.final.select("response_id").distinct().count() == 120
     assert {r[0] for r in done.synthetic.select("segment").distinct().collect()} <= {"A", "B"}
     assert done.outcome.first()["achieved"] == pytest.approx(4.3)
+
+
+@pytest.mark.parametrize("levels", [255, 256, 257])
+def test_missing_scores_keep_their_normal_score(spark, monkeypatch, levels):
+    """The joint model is the same whether levels are looked up by join or from literals."""
+    rows = [(float(i // 5 % (levels - 1)) if i % 5 else None, None if i % 7 == 0 else "ab"[i % 5 > 0]) for i in range(5 * levels)]
+    source = spark.createDataFrame(rows, "score double, segment string")
+    assert source.select("score").distinct().count() == levels
+    models = []
+    for limit in (10**6, 256, 1):
+        monkeypatch.setattr(copula, "SMALL_COLUMN", limit)
+        models.append(copula.fit(source, ["score"], ["segment"]).correlation)
+    assert abs(models[0][0, 1]) > 0.3
+    assert all(np.allclose(models[0], m, atol=1e-9) for m in models[1:])
