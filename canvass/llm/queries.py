@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canvass.llm.audit_sql import TURN_REPAIR
 from canvass.llm.common import table
 from canvass.llm.factor_machine import classify
 from canvass.llm.mixing import Target, mix
@@ -17,6 +18,7 @@ from canvass.llm.suffix_dedup import dedup_report
 from canvass.llm.token_files import token_file_digest
 from canvass.llm.topk import top_k
 from canvass.llm.transcripts import format_chats
+from canvass.llm.turn_repair import repair_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,11 +65,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_harmonic_packing, op2_exact_topk, op3_temperature_mixing, op4_repeated_phrases, op5_minhash_classes,
         op6_suffix_dedup, op7_chat_formatting,
-        op8_token_files, op9_quality_rules, op10_quality_classifier,
+        op8_token_files, op9_quality_rules, op10_quality_classifier, op13_turn_repair,
     )
 }
 
@@ -79,6 +85,7 @@ def _listed(values: tuple[str, ...]) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op13_turn_repair": TURN_REPAIR,
     "op2_exact_topk": """WITH v AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
