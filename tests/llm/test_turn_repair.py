@@ -53,6 +53,9 @@ def searched(turns):
                     ways.append((cost + extra + price, edit + audit, (f"{name}:{text}", *out)))
         return min(ways) if ways else (1 << 40, "~", ())
 
+    for i in range(len(turns), -1, -1):  # from the end, so that the recursion stays flat
+        for last in AFTER:
+            cheapest(i, last, 0)
     cost, audit, out = cheapest(0, "", 0)
     illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
     gaps = max(at) - min(at) + 1 - len(set(at)) if at else 0
