@@ -1,5 +1,52 @@
 """DuckDB SQL of the audits and scans that plain SQL can express."""
 
+from __future__ import annotations
+
+from canvass.llm.license_scan import PHRASES, TEMPLATES
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SOURCE_DIVERGENCE = rf"""WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+ u AS (SELECT r, lang, source, unnest(terms) AS term FROM t),
+ kept AS (SELECT lang, term, count(*) AS lang_n FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+ langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM t),
+ c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+ totals AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+ d AS (SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + 1000000000 * (coalesce(n, 0) + 1) // (coalesce(total, 0) + v) AS BIGINT) AS p,
+   CAST(1 + 1000000000 * (lang_n + 1) // (lang_total + v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM d AS a JOIN d AS b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+ found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM d WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 200"""
+
+_quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+_PLACES = ", ".join(
+    "[i - 1 FOR i IN range(1, len(w) + 1) IF " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + f"] AS p{n}"
+    for n, phrase in enumerate(PHRASES)
+)
+_ROWS = ", ".join(f"('{t.label}', {t.step}, {t.need}, [{_quoted(sorted(set(t.words)))}])" for t in TEMPLATES)
+
+LICENSE_SCAN = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex({_LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+ b AS (SELECT r, doc_id, w, {_PLACES} FROM t),
+ a AS (SELECT r, doc_id, len(w) AS n_words, {" || ".join(f"p{n}" for n in range(len(PHRASES)))} AS places,
+   {" || ".join(f"(CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END)" for n, label in enumerate(PHRASES.values()))} AS base FROM b),
+ templates(label, step, need, words) AS (VALUES {_ROWS}),
+ steps AS (SELECT DISTINCT step FROM templates),
+ blocks AS (SELECT r, step, list_distinct(w[k + 1 : k + 2 * step]) AS held FROM (SELECT r, w, step, unnest(range(0, len(w), step)) AS k FROM t, steps)),
+ hits AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS containment FROM blocks JOIN templates USING (step) WHERE len(list_intersect(held, words)) >= need),
+ found AS (SELECT r, list(DISTINCT label) AS more, max(containment) AS best FROM hits GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+ array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
+ CAST(CASE WHEN len(places) > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score FROM a LEFT JOIN found USING (r)"""
+
 TURN_REPAIR = r"""WITH RECURSIVE crc_table AS (
   SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
  keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,

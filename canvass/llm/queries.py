@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm.audit_sql import TURN_REPAIR
+from canvass.llm.audit_sql import LICENSE_SCAN, SOURCE_DIVERGENCE, TURN_REPAIR
 from canvass.llm.common import table
+from canvass.llm.divergence import divergence_report
 from canvass.llm.factor_machine import classify
+from canvass.llm.license_scan import license_report
 from canvass.llm.mixing import Target, mix
 from canvass.llm.minhash import near_duplicates
 from canvass.llm.packing import pack
@@ -65,6 +67,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_report(table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
@@ -73,7 +83,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_harmonic_packing, op2_exact_topk, op3_temperature_mixing, op4_repeated_phrases, op5_minhash_classes,
         op6_suffix_dedup, op7_chat_formatting,
-        op8_token_files, op9_quality_rules, op10_quality_classifier, op13_turn_repair,
+        op8_token_files, op9_quality_rules, op10_quality_classifier, op11_source_divergence, op12_license_scan,
+        op13_turn_repair,
     )
 }
 
@@ -85,6 +96,8 @@ def _listed(values: tuple[str, ...]) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op12_license_scan": LICENSE_SCAN,
     "op13_turn_repair": TURN_REPAIR,
     "op2_exact_topk": """WITH v AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
