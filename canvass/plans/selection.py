@@ -1,28 +1,29 @@
 """Choosing candidates (and source rows to replace) so that the targets are met.
 
 A row matters only through its signature: its denominator and numerator of every target.
-Spark counts rows per signature, the number of cells depends on the targets and not on the
-data, and choosing rows becomes choosing how many to take from each cell. The takes of one run
-are worked out in one small task; runs are independent. Rows are then drawn from the cells in
-hash order.
+Spark counts rows per run and signature; the number of cells depends on the targets and not on the
+data, and choosing rows becomes choosing how many to take from each cell. Runs are keyed: each
+run's cells are one small group, so any number of runs is worked out in one job, spread over
+tasks (:mod:`canvass.plans.takes`). Rows are then drawn from the cells in hash order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
-import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.plans import takes as T
 from canvass.plans import vectors as V
 from canvass.plans.pool import Job, drop_misrouted
 from canvass.scale import hash_order, number_by_hash
 
 TOLERANCE = 1e-9
-STEP_LIMIT = 200_000  # exact search while it needs fewer state steps than this
-MISSED_COUNT = 1e6
 
 
 class Infeasible(RuntimeError):
@@ -40,142 +41,46 @@ class Spec:
     kind: str
 
 
-def specs(job: Job, enforce_counts: bool = True) -> list[Spec]:
+def specs(job: Job) -> list[Spec]:
     out = []
     for t in job.targets:
         weight = 1.0 / max(float(t.maximum - t.minimum), 1.0) if t.kind == "mean" else 1.0
-        if t.kind == "count":
-            weight = MISSED_COUNT if enforce_counts else 0.0
         out.append(Spec(float(t.value), weight, t.kind))
     return out
 
 
-def margin_error(margins: np.ndarray, wanted: Sequence[Spec]) -> np.ndarray:
-    """Weighted error of margin rows (d0, n0, d1, n1, ...); an empty denominator is infeasible."""
-    total = np.zeros(len(margins))
-    for i, s in enumerate(wanted):
-        den, num = margins[:, 2 * i], margins[:, 2 * i + 1]
-        if s.kind == "count":
-            total += s.weight * np.abs(num - s.value)
-        else:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(den > 0, s.weight * np.abs(num / den - s.value), np.inf)
-    return total
+@dataclass(frozen=True)
+class RunSpec:
+    """One run's search: targets in the order of the signature columns, what is there already (denominator and
+    numerator of each), rows to take, whether counts must hold, and whether source rows may go."""
 
+    wanted: tuple[Spec, ...]
+    base: tuple[float, ...]
+    rows: int
+    hard_counts: bool = True
 
-def exact_takes(vec: np.ndarray, cap: np.ndarray, keep: np.ndarray, base: np.ndarray, rows: int, wanted):
-    """Dynamic programme over cells, state = (rows taken, margins), best kept count per state.
 
-    None once it would need more than STEP_LIMIT steps.
-    """
-    steps = 0
-    states: dict[tuple, tuple[int, tuple | None]] = {(0, *([0.0] * vec.shape[1])): (0, None)}
-    left_after = np.concatenate([np.cumsum(cap[::-1])[::-1][1:], [0]])
-    for c in range(len(vec)):
-        grown: dict[tuple, tuple[int, tuple | None]] = {}
-        steps += len(states) * (min(int(cap[c]), rows) + 1)
-        if steps > STEP_LIMIT:
-            return None
-        for state, (kept, _) in states.items():
-            low = max(0, rows - state[0] - int(left_after[c]))
-            for k in range(low, min(int(cap[c]), rows - state[0]) + 1):
-                key = (state[0] + k, *(np.asarray(state[1:]) + k * vec[c]))
-                score = kept + k * int(keep[c])
-                if key not in grown or grown[key][0] < score:
-                    grown[key] = (score, (states[state][1], k))
-        states = grown
-    done = [(key, v) for key, v in states.items() if key[0] == rows]
-    if not done:
-        return None
-    margins = np.array([key[1:] for key, _ in done]) + base
-    errors = margin_error(margins, wanted)
-    close = np.flatnonzero(errors <= errors.min() + TOLERANCE)
-    best = max(close, key=lambda i: done[i][1][0])
-    takes, trail = [], done[best][1][1]
-    while trail is not None:
-        takes.append(trail[1])
-        trail = trail[0]
-    return np.array(takes[::-1])
-
-
-def search_takes(vec: np.ndarray, cap: np.ndarray, keep: np.ndarray, base: np.ndarray, rows: int, wanted, start):
-    """Descent by moves and pairs of moves between cells, from several starts.
-
-    A move shifts rows from one cell to another; moves with the same effect on the margins are
-    tried once. Ties in error go to the solution that keeps more source rows.
-    """
-    kept_weight = 1e-10 / (rows + 1)
-
-    def cost(takes: np.ndarray) -> float:
-        return float(margin_error((base + takes @ vec)[None, :], wanted)[0] - kept_weight * (takes @ keep))
-
-    def improve(takes: np.ndarray) -> tuple[float, np.ndarray]:
-        takes, best = takes.copy(), cost(takes)
-        step = max(1, 1 << int(max(rows, 1)).bit_length() - 1)
-        while step >= 1:
-            src, dst = np.flatnonzero(takes >= step), np.flatnonzero(cap - takes >= step)
-            margins = base + takes @ vec
-            effect, pair = _distinct_moves(vec, keep, src, dst)
-            moved = False
-            if len(effect):
-                trial = margin_error(margins + step * effect[:, :-1], wanted) - kept_weight * (
-                    takes @ keep + step * effect[:, -1]
-                )
-                i = int(np.argmin(trial))
-                if trial[i] < best - 1e-15:
-                    takes[pair[i][0]] -= step
-                    takes[pair[i][1]] += step
-                    best, moved = cost(takes), True
-                elif step == 1 and len(effect) <= 1200:
-                    both = (effect[:, None, :] + effect[None, :, :]).reshape(-1, effect.shape[1])
-                    trial = margin_error(margins + both[:, :-1], wanted) - kept_weight * (takes @ keep + both[:, -1])
-                    for j in np.argsort(trial)[:20]:
-                        if trial[j] >= best - 1e-15:
-                            break
-                        a, b = pair[j // len(effect)], pair[j % len(effect)]
-                        after = takes.copy()
-                        for x in (a, b):
-                            after[x[0]] -= 1
-                            after[x[1]] += 1
-                        if (after >= 0).all() and (after <= cap).all():
-                            takes, best, moved = after, cost(after), True
-                            break
-            if not moved:
-                step //= 2
-        return best, takes
-
-    rng = np.random.default_rng(rows)
-    starts = [start] if start is not None else []
-    starts.append(_spread(cap.astype(float), cap, rows))
-    starts += [_spread(rng.random(len(cap)) * cap, cap, rows) for _ in range(4)]
-    return min((improve(s) for s in starts), key=lambda r: r[0])[1]
-
-
-def _distinct_moves(vec, keep, src, dst):
-    effects: dict[bytes, tuple[int, int]] = {}
-    rows = []
-    full = np.hstack([vec, keep[:, None].astype(float)])
-    for i in src:
-        delta = full[dst] - full[i]
-        _, first = np.unique(delta, axis=0, return_index=True)
-        for f in first:
-            if dst[f] != i:
-                key = delta[f].tobytes()
-                if key not in effects:
-                    effects[key] = (int(i), int(dst[f]))
-                    rows.append(delta[f])
-    return np.array(rows).reshape(-1, full.shape[1]), list(effects.values())
-
-
-def _spread(weights: np.ndarray, cap: np.ndarray, rows: int) -> np.ndarray:
-    """Whole takes close to the weights, within capacity, summing to ``rows``."""
-    share = np.minimum(np.floor(weights / max(weights.sum(), 1e-12) * rows), cap).astype(np.int64)
-    missing = rows - int(share.sum())
-    for i in np.argsort(-weights):
-        extra = min(missing, int(cap[i] - share[i]))
-        share[i] += extra
-        missing -= extra
-    return share
+def _whole(values: Sequence[float]) -> tuple[int, list[int]]:
+    """A factor that makes all values whole, and the whole values."""
+    exact = [Fraction(float(v)).limit_denominator(10**6) for v in values]
+    factor = math.lcm(*[v.denominator for v in exact]) if exact else 1
+    return factor, [int(v * factor) for v in exact]
+
+
+def run_problem(pdf: pd.DataFrame, names: Sequence[str], spec: RunSpec) -> T.Problem:
+    """The search over one run's cells. A kept source row is worth one in the second place."""
+    ratios, exacts = [], []
+    for i, s in enumerate(spec.wanted):
+        den, num = pdf[names[2 * i]], pdf[names[2 * i + 1]]
+        factor, whole = _whole([*num, spec.base[2 * i + 1]])
+        if s.kind == "count":
+            exacts.append(T.Exact(int(s.value), tuple(whole[:-1]), whole[-1], spec.hard_counts))
+            continue
+        ratios.append(T.Ratio(
+            T.as_ratio(s.value) * factor, T.as_ratio(s.weight) / factor, tuple(int(d) for d in den), tuple(whole[:-1]),
+            int(spec.base[2 * i]), whole[-1],
+        ))
+    return T.Problem(spec.rows, tuple(int(c) for c in pdf["cap"]), tuple(ratios), tuple(exacts), tuple(-int(k) for k in pdf["keep"]))
 
 
 def _signatures(df: DataFrame, targets) -> tuple[DataFrame, list[str]]:
@@ -187,41 +92,42 @@ def _signatures(df: DataFrame, targets) -> tuple[DataFrame, list[str]]:
     return df, names
 
 
-def _solve(cells: DataFrame, names: list[str], wanted: list[Spec], base: list[float], rows: int) -> DataFrame:
-    """Adds ``take`` to the cells of each run. ``keep`` is 1 for source cells, 0 for candidates."""
-    module_exact, module_search = exact_takes, search_takes
+def solve_runs(cells: DataFrame, names: Sequence[str], runs: Mapping[str, RunSpec]) -> DataFrame:
+    """``take``, ``status`` and ``error`` for the cells (run, keep, signature, cap) of every run.
+
+    ``keep`` is 1 for source cells, 0 for candidates. Status: found, short (fewer rows than needed),
+    none (the counts cannot hold), long (the search gave up; nothing unproven is returned).
+    """
+    names, runs = list(names), dict(runs)
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["keep", *names]).reset_index(drop=True)
-        vec, cap = pdf[names].to_numpy(float), pdf["cap"].to_numpy(np.int64)
-        keep = pdf["keep"].to_numpy(np.int64)
-        if int(cap.sum()) < rows:
-            return pdf.assign(take=-1)
-        fixed = np.array(base)
-        takes = module_exact(vec, cap, keep, fixed, rows, wanted)
-        if takes is None:
-            first = None
-            if keep.any() and int(cap[keep == 1].sum()) <= rows:
-                rest = np.where(keep == 1, 0, cap)
-                first = np.where(keep == 1, cap, _spread(rest.astype(float), rest, rows - int(cap[keep == 1].sum())))
-            takes = module_search(vec, cap, keep, fixed, rows, wanted, first)
-        return pdf.assign(take=takes)
-
-    schema = ", ".join(["run string", "keep int", *[f"{n} double" for n in names], "cap long", "take long"])
+        spec = runs[pdf["run"].iloc[0]]
+        if int(pdf["cap"].sum()) < spec.rows:
+            return pdf.assign(take=0, status="short", error=None)
+        try:
+            choice = T.choose(run_problem(pdf, names, spec))
+        except T.SearchTooLong:
+            return pdf.assign(take=0, status="long", error=None)
+        if choice is None:
+            return pdf.assign(take=0, status="none", error=None)
+        return pdf.assign(take=list(choice.takes), status="found", error=float(choice.error))
+
+    schema = ", ".join(["run string", "keep int", *[f"{n} double" for n in names], "cap long", "take long", "status string", "error double"])
     return cells.groupBy("run").applyInPandas(run, schema)
 
 
-def _cells(df: DataFrame, names: list[str], keep: int) -> DataFrame:
-    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("cap")).select(
-        F.lit("run").alias("run"), F.lit(keep).alias("keep"), *names, "cap"
-    )
+def _cells(df: DataFrame, names: Sequence[str], keep: int) -> DataFrame:
+    """Rows per run and signature."""
+    return df.groupBy("run", *names).agg(F.count(F.lit(1)).alias("cap")).select("run", F.lit(keep).alias("keep"), *names, "cap")
 
 
 def _draw(df: DataFrame, names: list[str], takes: DataFrame, row_id: str, seed: int) -> DataFrame:
-    """``take`` rows of every cell in hash order; a cell that holds most rows is numbered in buckets."""
-    rows = df.join(takes.select(*names, "take"), names).where(F.col("take") > 0)
+    """``take`` rows of every run's cells in hash order; a cell that holds most rows is numbered in buckets."""
+    by = ["run", *names]
+    rows = df.join(takes.select(*by, "take"), by).where(F.col("take") > 0)
     return number_by_hash(
-        rows, names, hash_order(seed, row_id), tie=[row_id], limit=F.col("take")
+        rows, by, hash_order(seed, row_id), tie=[row_id], limit=F.col("take")
     ).drop("rn", "take", *names)
 
 
@@ -245,16 +151,27 @@ def select_for_targets(
     signed, names = _signatures(pool, job.targets)
     if not names:
         return number_by_hash(signed, [], hash_order(job.seed, "cand_id"), tie=["cand_id"], limit=F.lit(additions)).drop("rn")
-    solved = _solve(_cells(signed, names, 0), names, specs(job, enforce_counts), base, additions)
-    # One row per signature: bounded by the targets, so the takes travel with the plan.
-    rows = solved.collect()
-    if not rows or rows[0]["take"] < 0:
+    signed = signed.withColumn("run", F.lit(_ONE))
+    takes, status, _ = _solved(signed.sparkSession, solve_runs(
+        _cells(signed, names, 0), names, {_ONE: RunSpec(tuple(specs(job)), tuple(base), additions, enforce_counts)}
+    ))
+    if status == "short":
         raise Infeasible("candidate_support", "the pool holds fewer rows than the additions need")
-    takes = source.sparkSession.createDataFrame(rows, solved.schema)
-    margins = np.array(base) + sum((np.array([r[n] for n in names]) * r["take"] for r in rows), np.zeros(len(names)))
-    if enforce_counts and margin_error(margins[None, :], specs(job))[0] >= MISSED_COUNT / 2:
+    if status != "found":
         raise Infeasible("solver_infeasible", "no selection meets the exact counts")
-    return _draw(signed, names, takes, "cand_id", job.seed)
+    return _draw(signed, names, takes, "cand_id", job.seed).drop("run")
+
+
+_ONE = "run"
+
+
+def _solved(spark: SparkSession, solved: DataFrame) -> tuple[DataFrame, str, float]:
+    """A single run's takes, status and error. One row per signature: bounded by the targets, so they travel with the plan."""
+    rows = solved.collect()
+    status = rows[0]["status"] if rows else "short"
+    if status == "long":
+        raise Infeasible("search_too_long", "the least error could not be proven")
+    return spark.createDataFrame(rows, solved.schema), status, rows[0]["error"] if rows else None
 
 
 def select_for_mean(source: DataFrame, candidates: DataFrame, mean: V.MeanTarget, plan: dict[int, int], seed: int = 1) -> DataFrame:
@@ -282,26 +199,21 @@ class Replacement:
 def plan_replacements(source: DataFrame, candidates: DataFrame, job: Job, append_error: float) -> Replacement:
     """Fewest source rows to replace for the least error, when that beats appending alone."""
     pool = drop_misrouted(candidates, job.rules)
-    signed, names = _signatures(pool, job.targets)
-    own, _ = _signatures(source, job.targets)
-    cells = _cells(own, names, 1).unionByName(_cells(signed, names, 0))
-    base = [0.0] * len(names)
-    solved = _solve(cells, names, specs(job), base, job.final_count)
-    rows = solved.collect()  # one row per signature and side
-    if not rows or rows[0]["take"] < 0:
-        return Replacement("impossible")
-    margins = sum((np.array([r[n] for n in names]) * r["take"] for r in rows), np.zeros(len(names)))
-    error = float(margin_error(margins[None, :], specs(job))[0])
-    if error >= MISSED_COUNT / 2 or not np.isfinite(error):
+    (signed, names), (own, _) = _signatures(pool, job.targets), _signatures(source, job.targets)
+    signed, own = signed.withColumn("run", F.lit(_ONE)), own.withColumn("run", F.lit(_ONE))
+    takes, status, error = _solved(source.sparkSession, solve_runs(
+        _cells(own, names, 1).unionByName(_cells(signed, names, 0)), names,
+        {_ONE: RunSpec(tuple(specs(job)), (0.0,) * len(names), job.final_count)},
+    ))
+    if status != "found":
         return Replacement("impossible")
-    removed = sum(r["cap"] - r["take"] for r in rows if r["keep"] == 1)
     if error >= append_error - TOLERANCE:
         return Replacement("not_required")
-    takes = source.sparkSession.createDataFrame(rows, solved.schema)
+    removed = takes.where("keep = 1").agg(F.sum(F.col("cap") - F.col("take"))).first()[0]
     return Replacement(
-        "available", int(removed),
-        _draw(own, names, takes.where("keep = 1"), "response_id", job.seed),
-        _draw(signed, names, takes.where("keep = 0"), "cand_id", job.seed),
+        "available", int(removed or 0),
+        _draw(own, names, takes.where("keep = 1"), "response_id", job.seed).drop("run"),
+        _draw(signed, names, takes.where("keep = 0"), "cand_id", job.seed).drop("run"),
     )
 
 

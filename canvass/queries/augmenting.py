@@ -253,6 +253,21 @@ def normalised_scores(spark, sf_dir):
 
 
 # Selection.
+# Rows of the survey, what the additions make of it, and the sum that comes closest to a mean.
+_SIZES_SQL = S_SQL.rstrip() + """, t AS (SELECT count(*) AS n, count(*) + greatest(1, count(*) // 10) AS f, sum(q_score) AS total, count(*) FILTER (WHERE q_status = 'F') AS members FROM survey)"""
+
+
+def _outcome_sql(target: str, kind: str, requested: str, numerator: str, weight: str) -> str:
+    """One outcome row over all f rows."""
+    achieved = numerator if kind == "count" else f"{numerator} / f"
+    error = f"abs({achieved} - CAST({requested} AS DOUBLE))"
+    weighted = f"CASE WHEN {error} > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END" if kind == "count" else f"{error} / {weight}"
+    return (
+        f" SELECT '{target}' AS target_id, '{kind}' AS kind, CAST({requested} AS DOUBLE) AS requested, CAST({achieved} AS DOUBLE) AS achieved, {error} AS absolute_error, "
+        f"CAST({numerator} AS DOUBLE) AS numerator, f AS denominator, {weighted} AS weighted_error FROM t"
+    )
+
+
 def _chosen(spark, sf_dir):
     return _stored(spark, sf_dir, "chosen", lambda: materialise(
         SEL.select_for_targets(source(spark, sf_dir), pool(spark, sf_dir), job(spark, sf_dir))
@@ -269,6 +284,14 @@ def append_selection(spark, sf_dir):
     return V.outcomes(_final(spark, sf_dir), JOB.targets)
 
 
+@query("sel01_errors", _SIZES_SQL + """ SELECT 'mean' AS target_id, round(abs(floor(CAST(3.1 AS DOUBLE) * f + 0.5) / f - 3.1), 9) AS absolute_error FROM t
+ UNION ALL SELECT 'share', round(abs(floor(CAST(0.36 AS DOUBLE) * f + 0.5) / f - 0.36), 9) FROM t
+ UNION ALL SELECT 'cond', CAST(0 AS DOUBLE)""")
+def append_errors(spark, sf_dir):
+    """Three targets at once, each at its own least error; every fifth denominator takes the conditional share exactly."""
+    return append_selection(spark, sf_dir).select("target_id", F.round("absolute_error", 9).alias("absolute_error"))
+
+
 @query("sel02")
 def selected_signatures(spark, sf_dir):
     signed, names = SEL._signatures(_chosen(spark, sf_dir), JOB.targets)
@@ -310,9 +333,10 @@ _COUNT = PO.Job(
 )
 
 
-@query("sel06")
+@query("sel06", _SIZES_SQL + _outcome_sql("mean", "mean", "3.1", "floor(CAST(3.1 AS DOUBLE) * f + 0.5)", "4") + " UNION ALL "
+       + _outcome_sql("few", "count", "100", "members", "1"))
 def relaxed_counts(spark, sf_dir):
-    """The count is below what the source already holds, so only the relaxed selection exists."""
+    """The count is below what the source already holds, so only the relaxed selection exists: no member is added."""
     j = job(spark, sf_dir, _COUNT)
     chosen = SEL.select_for_targets(source(spark, sf_dir), pool(spark, sf_dir), j, enforce_counts=False)
     columns = ["score_q_score", *JOB.categorical]
@@ -345,7 +369,8 @@ def replacement_plan(spark, sf_dir):
     ).withColumn("replaced", F.lit(plan.removed_count))
 
 
-@query("rep02")
+@query("rep02", _SIZES_SQL + _outcome_sql("mean", "mean", "3.4", "floor(CAST(3.4 AS DOUBLE) * f + 0.5)", "4") + " UNION ALL "
+       + _outcome_sql("share", "share", "0.36", "floor(CAST(0.36 AS DOUBLE) * f + 0.5)", "1"))
 def replacement_outcome(spark, sf_dir):
     plan, columns = _plan(spark, sf_dir), ["score_q_score", *JOB.categorical]
     return V.outcomes(plan.kept.select(*columns).unionByName(plan.chosen.select(*columns)), _HIGH.targets)
@@ -364,7 +389,10 @@ def augmentation_report(spark, sf_dir):
     return PL.report(PL.augment(source(spark, sf_dir), j), j)
 
 
-@query("cmp01")
+@query("cmp01", S_SQL.rstrip() + """, y AS (SELECT year(submitted_at) AS year, count(*) AS n, sum(q_score) AS total FROM survey GROUP BY 1),
+ a AS (SELECT *, n // 20 AS extra, CASE year WHEN 1996 THEN 3.2 ELSE 2.9 END AS wanted FROM y WHERE year IN (1996, 1998))
+ SELECT year, 'original' AS origin, n AS rows, total / n AS mean_score FROM y
+ UNION ALL SELECT year, 'synthetic', extra, least(greatest(floor(CAST(wanted AS DOUBLE) * (n + extra) - total + 0.5), extra), 5 * extra) / extra FROM a WHERE extra > 0""")
 def batch_of_rules(spark, sf_dir):
     """Two disjoint years, each with its own mean; rows outside both years stay as they are."""
     rules = {}

@@ -8,6 +8,7 @@ from canvass.plans import pipeline as PL
 from canvass.plans import selection as SEL
 from canvass.plans import vectors as V
 from canvass.plans.pool import Job, RoutingRule, drop_misrouted
+from canvass.queries import augmenting
 
 
 def table(spark, scores, prefix, **columns):
@@ -98,23 +99,83 @@ def test_routing_rules_drop_candidates(spark):
     assert [r["cand_id"] for r in drop_misrouted(cand, rules).collect()] == ["c1"]
 
 
-def test_search_matches_exact_search():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        cells, rows = int(rng.integers(3, 6)), int(rng.integers(3, 6))
-        vec = np.column_stack([np.ones(cells), rng.integers(1, 6, cells), np.ones(cells), rng.integers(0, 2, cells)]).astype(float)
-        cap, keep = rng.integers(1, 5, cells), rng.integers(0, 2, cells)
-        if cap.sum() < rows:
+@pytest.mark.parametrize("size", [60, 60_000])
+def test_fewest_replacements(spark, size):
+    """Scores 1-5 in equal parts, mean 3.0; a tenth more rows and mean 3.4: 5s in place of the lowest scores."""
+    src = spark.range(size).selectExpr("cast(id as string) AS response_id", "cast(1 + id % 5 as double) AS score")
+    cand = spark.range(size).selectExpr("cast(id as string) AS cand_id", "cast(1 + id % 5 as double) AS score")
+    final = size + size // 10
+    job = Job(final, means=(V.MeanTarget("m", "score", 3.4, 1, 5),))
+    wanted = round(3.4 * final) - 3 * size  # what the new and replacing rows must bring, less what goes
+    fives, removed, gain = size // 5, 0, 5 * (size // 10)  # additions are 5s, while there are any
+    left = fives - size // 10
+    while gain < wanted:
+        removed += 1
+        gain += (5 if left > 0 else 4) - 1  # the rows that go are 1s: there are more than enough of them
+        left -= 1
+    plan = SEL.plan_replacements(src, cand, job, 1.0)
+    assert (plan.status, plan.removed_count) == ("available", removed)
+    assert plan.kept.count() == size - removed and plan.chosen.count() == size // 10 + removed
+    assert outcome(plan.kept, plan.chosen, job)["m"]["absolute_error"] <= 0.5 / final + 1e-12
+
+
+def test_replacement_query_removes_no_more_than_it_must(spark):
+    """The lowest rows go, the highest candidates come: the share leaves room for that, so no plan can do with less."""
+    sf = "/root/testdata/sf0.001"
+    plan = augmenting.replacement_plan(spark, sf).first()
+    job = augmenting.job(spark, sf, augmenting._HIGH)
+    scores = lambda df: sorted(r[0] for r in df.select("score_q_score").collect())
+    have, pool = scores(augmenting.source(spark, sf)), scores(augmenting.pool(spark, sf))[::-1]
+    extra, removed = job.final_count - len(have), 0
+    while sum(have[removed:]) + sum(pool[: extra + removed]) < round(3.4 * job.final_count):
+        removed += 1
+    assert (plan.status, plan.replaced, plan.kept_rows, plan.chosen_rows) == ("available", removed, len(have) - removed, extra + removed)
+
+
+def test_hidden_append_is_found(spark):
+    """Targets are what a random choice reaches, so the least error is 0; several targets pull at once."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        draw = lambda n: [(int(rng.integers(1, 6)), str(rng.choice(["A", "B", "C"])), str(rng.choice(["x", "y"]))) for _ in range(n)]  # noqa: B023, E731
+        have, pool = draw(400), draw(900)
+        hidden = [pool[i] for i in rng.permutation(900)[:150]]
+        both = have + hidden
+        in_x = [r for r in both if r[2] == "x"]
+        job = Job(
+            550, means=(V.MeanTarget("m", "score", sum(r[0] for r in both) / 550, 1, 5),),
+            shares=(V.ShareTarget("s", "g", frozenset({"A"}), sum(r[1] == "A" for r in both) / 550),),
+            conditionals=(V.ConditionalTarget("c", "h", frozenset({"x"}), "g", frozenset({"B"}), sum(r[1] == "B" for r in in_x) / len(in_x)),),
+        )
+        src, cand = (table(spark, [r[0] for r in rows], p, g=[r[1] for r in rows], h=[r[2] for r in rows]) for rows, p in ((have, "r"), (pool, "c")))
+        got = outcome(src, SEL.select_for_targets(src, cand, job), job)
+        assert all(r["absolute_error"] < 1e-9 for r in got.values())
+
+
+def test_relaxed_counts_come_second(spark):
+    """The mean is met first; of the choices that do, the one closest to the count is taken."""
+    src = table(spark, [3, 3], "r", g=["M", "M"])
+    cand = table(spark, [5, 1, 3, 3, 5, 1], "c", g=["F", "F", "M", "M", "M", "F"])
+    job = Job(4, means=(V.MeanTarget("m", "score", 3.0, 1, 5),), counts=(V.CountTarget("n", "g", frozenset({"M"}), 1),))
+    with pytest.raises(SEL.Infeasible):
+        SEL.select_for_targets(src, cand, job)
+    got = outcome(src, SEL.select_for_targets(src, cand, job, enforce_counts=False), job)
+    assert got["m"]["absolute_error"] == 0 and got["n"]["achieved"] == 2
+
+
+def test_many_runs_in_one_job(spark):
+    """Runs do not see each other; each gets its own least error."""
+    names = ["__d0", "__n0"]
+    cells = [(f"run{i}", 0, 1.0, float(s), 5 + i) for i in range(200) for s in (1, 2, 3, 4, 5)]
+    runs = {f"run{i}": SEL.RunSpec((SEL.Spec(1 + i / 50, 0.25, "mean"),), (0.0, 0.0), 5 if i % 10 else 10_000) for i in range(200)}
+    rows = SEL.solve_runs(spark.createDataFrame(cells, "run string, keep int, __d0 double, __n0 double, cap long"), names, runs).collect()
+    assert len(rows) == len(cells)
+    for i in range(200):
+        own = [r for r in rows if r["run"] == f"run{i}"]
+        if i % 10 == 0:
+            assert {r["status"] for r in own} == {"short"}
             continue
-        wanted = [SEL.Spec(float(rng.uniform(1, 5)), 0.25, "mean"), SEL.Spec(float(rng.uniform(0, 1)), 1.0, "share")]
-        base = np.zeros(4)
-        exact = SEL.exact_takes(vec, cap, keep, base, rows, wanted)
-        found = SEL.search_takes(vec, cap, keep, base, rows, wanted, None)
-        best, got = (SEL.margin_error((t @ vec)[None, :], wanted)[0] for t in (exact, found))
-        assert exact.sum() == found.sum() == rows and (found <= cap).all() and (found >= 0).all()
-        assert got >= best - 1e-12 and got <= best + 0.05
+        total = sum(r["take"] * r["__n0"] for r in own)
+        assert sum(r["take"] for r in own) == 5 and abs(total - (1 + i / 50) * 5) <= 0.5 + 1e-9
 
 
 def test_mean_end_to_end(spark):
