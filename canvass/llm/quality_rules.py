@@ -94,7 +94,9 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("g"), i.alias("i")))),
     ))
     counts = {
-        "n_words": n,
+        # True for every row, but not known to be: a filter on what follows is not moved below this projection,
+        # where it would copy the lists above into its lambdas and build them again for each element.
+        "n_words": F.when(F.spark_partition_id() >= 0, n),
         "word_chars": F.length(F.array_join(c("w"), "")),
         "n_symbols": F.length(F.regexp_replace(c("t"), r"[^#*$%&|<>]+", "")),
         "n_lines": F.size(c("l")),
