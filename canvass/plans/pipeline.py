@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from canvass.operators import evaluate as E
 from canvass.operators.compose import compose
 from canvass.operators.scope import Scope, in_scope
+from canvass.plans import finished as FIN
 from canvass.plans import selection as SEL
 from canvass.plans import support as S
 from canvass.plans import vectors as V
@@ -96,8 +97,12 @@ def _with_ids(rows: DataFrame, label: str, seed: int) -> DataFrame:
     ).drop("__rn", "cand_id", "request_id").withColumn("origin", F.lit("synthetic"))
 
 
-def augment(source: DataFrame, job: Job) -> Augmentation:
-    """``source``: flat table with response_id, the job's score and cell columns and its time column."""
+def augment(source: DataFrame, job: Job, form: FIN.FormCheck | None = None) -> Augmentation:
+    """``source``: flat table with response_id, the job's score and cell columns and its time column.
+
+    Finished rows are checked before they are handed out (:mod:`canvass.plans.finished`); with ``form``
+    generated rows are also rebuilt as responses and led through the form's routing.
+    """
     wanted = [
         "response_id", *([job.time_column] if job.time_column else []), *job.scores, *job.categorical
     ]
@@ -133,6 +138,8 @@ def augment(source: DataFrame, job: Job) -> Augmentation:
             chosen = materialise(_with_ids(picked, "synthetic", job.seed))
             outcome = V.outcomes(original.unionByName(chosen), job.targets)
     final = original.unionByName(chosen)
+    relaxed = bool(job.counts) and outcome.where("kind = 'count' and absolute_error > 0").take(1)
+    FIN.stop_on(FIN.finished_findings(final, source, job, planned=outcome, plans=None if relaxed else plans, form=form))
     if not job.targets:
         return Augmentation(chosen, final, outcome, "not_required")
     error = V.selection_error(outcome).first()[0]
@@ -152,9 +159,9 @@ def augment(source: DataFrame, job: Job) -> Augmentation:
         .otherwise(F.concat_ws(":", F.lit("synthetic"), F.lit(job.seed), F.col("__rn") - plan.removed_count)),
     ).drop("__rn", "cand_id", "request_id").withColumn("origin", F.lit("synthetic"))
     alternative = materialise(kept.unionByName(named))
-    return Augmentation(
-        chosen, final, outcome, "available", plan.removed_count, alternative, V.outcomes(alternative, job.targets)
-    )
+    reached = V.outcomes(alternative, job.targets)
+    FIN.stop_on(FIN.finished_findings(alternative, source, job, removed_count=plan.removed_count, planned=reached, form=form))
+    return Augmentation(chosen, final, outcome, "available", plan.removed_count, alternative, reached)
 
 
 def report(result: Augmentation, job: Job) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators.scope import Scope
 from canvass.plans import copula
+from canvass.plans import finished as FIN
 from canvass.plans import pipeline as PL
 from canvass.plans import pool as PO
 from canvass.plans import requests as RQ
@@ -389,6 +390,46 @@ def augmentation_report(spark, sf_dir):
     return PL.report(PL.augment(source(spark, sf_dir), j), j)
 
 
+def _spoiled(spark, sf_dir):
+    """The survey as if it were finished rows: originals and made copies, some of them spoiled by their id."""
+    rows = source(spark, sf_dir).select(c("response_id").cast("string").alias("response_id"), "submitted_at", "score_q_score", *JOB.categorical)
+    k = c("response_id").cast("long") % 97
+    kept = rows.withColumn("k", k).where("k <> 1").select(
+        F.when(c("k") == 5, F.concat(F.lit("ghost:"), "response_id")).otherwise(c("response_id")).alias("response_id"),
+        F.when(c("k") != 2, c("submitted_at")).alias("submitted_at"),
+        F.when(c("k") == 3, c("score_q_score") + 1).otherwise(c("score_q_score")).alias("score_q_score"), *JOB.categorical,
+        F.when(c("k") == 4, "unknown").otherwise("original").alias("origin"),
+    )
+    made = rows.withColumn("k", k).where("k between 50 and 60").select(
+        F.when(c("k") == 53, "synthetic:same").otherwise(F.concat(F.lit("synthetic:"), "response_id")).alias("response_id"), "submitted_at",
+        F.when(c("k") == 51, 9.0).when(c("k") == 54, c("score_q_score") - 0.5).otherwise(c("score_q_score")).alias("score_q_score"),
+        "q_q_status", "q_q_segment", F.when(c("k") == 52, '{"state":"guessed"}').otherwise(c("q_q_flags")).alias("q_q_flags"),
+        F.lit("synthetic").alias("origin"),
+    )
+    return rows, kept.unionByName(made)
+
+
+@query("evl01_refusals", S_SQL.rstrip() + """, k AS (SELECT CAST(response_id AS BIGINT) % 97 AS k FROM survey)
+ SELECT code, sum(n) AS rows FROM (
+  SELECT 'lost_source_row' AS code, count(*) AS n FROM k WHERE k IN (1, 4, 5)
+  UNION ALL SELECT 'invalid_timestamp', count(*) FROM k WHERE k = 2
+  UNION ALL SELECT 'changed_source_row', count(*) FROM k WHERE k IN (2, 3)
+  UNION ALL SELECT 'invalid_origin', count(*) FROM k WHERE k = 4
+  UNION ALL SELECT 'unknown_source_row', count(*) FROM k WHERE k = 5
+  UNION ALL SELECT 'invalid_score', count(*) FROM k WHERE k IN (51, 54)
+  UNION ALL SELECT 'invalid_cell', count(*) FROM k WHERE k = 52
+  UNION ALL SELECT 'repeated_response_id', 1 WHERE (SELECT count(*) FROM k WHERE k = 53) > 1
+  UNION ALL SELECT 'row_count', 1 WHERE (SELECT count(*) FILTER (WHERE k <> 1) + count(*) FILTER (WHERE k BETWEEN 50 AND 60) FROM k) <> 1000
+  UNION ALL SELECT 'original_count', 1 WHERE (SELECT count(*) FROM k WHERE k IN (1, 4)) > 0)
+ GROUP BY code HAVING sum(n) > 0""")
+def refusals_of_finished_rows(spark, sf_dir):
+    """Findings by code over a finished table with spoiled rows."""
+    rows, final = _spoiled(spark, sf_dir)
+    spoiled_job = PO.Job(final_count=1000, means=JOB.means, categorical=JOB.categorical)
+    found = FIN.finished_findings(final, rows, spoiled_job)
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("cmp01", S_SQL.rstrip() + """, y AS (SELECT year(submitted_at) AS year, count(*) AS n, sum(q_score) AS total FROM survey GROUP BY 1),
  a AS (SELECT *, n // 20 AS extra, CASE year WHEN 1996 THEN 3.2 ELSE 2.9 END AS wanted FROM y WHERE year IN (1996, 1998))
  SELECT year, 'original' AS origin, n AS rows, total / n AS mean_score FROM y
