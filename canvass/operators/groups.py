@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.labels import TRIMMED
 from canvass.functions.slots import canonical_cell, group_value
-from canvass.scale import prefix_sums
+from canvass.scale import hash_order, number_by_hash, prefix_sums
 from canvass.schema import ANSWERED
 
 GROUPABLE = ("single_choice", "text")
@@ -102,20 +102,26 @@ def invalid_groups(members: DataFrame, questions: DataFrame, options: DataFrame)
 def group_overlaps(members: DataFrame) -> DataFrame:
     """For every group, how many other groups of its question share a member.
 
-    Groups with the same member set overlap with the same groups, so sets are compared
-    instead of groups: a member listed by very many groups costs one row per distinct set.
+    Groups are numbered per question, every member gets bitmaps of the groups that list it, and a
+    group's overlaps are the bits of its members' bitmaps put together. No pair of groups is ever a
+    row: a member listed by n groups costs n bits for each distinct set it is in. Groups with
+    equal sets share that work.
     """
     keys = ["form_id", "question_id"]
     sets = members.groupBy(*keys, "group_id").agg(F.array_sort(F.collect_set("member")).alias("member_set"))
-    distinct_sets = sets.groupBy(*keys, "member_set").agg(F.count(F.lit(1)).alias("groups"))
-    exploded = distinct_sets.select(*keys, "member_set", "groups", F.explode("member_set").alias("member"))
-    other = exploded.select(*keys, "member", F.col("member_set").alias("other_set"), F.col("groups").alias("other_groups"))
+    numbered = number_by_hash(sets, keys, hash_order(1, "group_id"), tie=["group_id"], out="no")
+    bits = numbered.select(
+        *keys, F.explode("member_set").alias("member"), F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")
+    ).groupBy(*keys, "member", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    listed = sets.select(*keys, "member_set").distinct().select(*keys, "member_set", F.explode("member_set").alias("member"))
     overlapping = (
-        exploded.select(*keys, "member_set", "member").join(other, [*keys, "member"])
-        .select(*keys, "member_set", "other_set", "other_groups").distinct()
-        .groupBy(*keys, "member_set").agg((F.sum("other_groups") - 1).alias("overlapping_groups"))
+        listed.join(bits, [*keys, "member"])
+        .groupBy(*keys, "member_set", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        .groupBy(*keys, "member_set").agg((F.sum("n") - 1).alias("overlapping_groups"))
+    )
+    return sets.join(overlapping, [*keys, "member_set"], "left").select(
+        *keys, "group_id", F.coalesce("overlapping_groups", F.lit(0)).cast("long").alias("overlapping_groups")
     )
-    return sets.join(overlapping, [*keys, "member_set"]).select(*keys, "group_id", "overlapping_groups")
 
 
 def observed_cells(slots: DataFrame) -> DataFrame:

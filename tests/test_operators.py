@@ -1,11 +1,15 @@
 """Numbering, prefix sums, plans, parsers, quality and routing on small literal inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from canvass.functions import parsing as Q
 from canvass.functions.labels import likert_label, spreadsheet_safe
 from canvass.operators import evaluate as E
+from canvass.operators.groups import group_overlaps
+from canvass.plans import allocation
 from canvass.plans import support as S
 from canvass.scale import explode_count, hash_order, number_by_hash, prefix_sums
 from canvass.sources import tables as ST
@@ -32,6 +36,59 @@ def test_numbering_is_dense_and_independent_of_partitions(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def spread(requested, counts):
+    """Every value in turn takes its rounded share of what is left; the last one takes the rest."""
+    total, left, out = sum(n for _, n in counts), requested, []
+    for k, (value, n) in enumerate(counts):
+        amount = left if k == len(counts) - 1 else min(left, max(1, round(requested * n / total)))
+        out += [(value, amount)] if amount else []
+        left -= amount
+    return out
+
+
+@pytest.mark.parametrize("window_rows", [10**6, 0])
+def test_weighted_requests_in_window_and_ranges(spark, monkeypatch, window_rows):
+    """One request holds nearly all values, another has a null in its key; both plans give the loop's amounts."""
+    monkeypatch.setattr(allocation, "WINDOW_ROWS", window_rows)
+    rows = [("hot", 1.0, f"v{i:05d}", 1 + i * 7 % 11, 30_000) for i in range(4000)]
+    rows += [("cold", None, f"w{i}", 1 + i, 17) for i in range(9)] + [("one", None, "x", 3, 5), ("none", 2.0, "y", 0, 5)]
+    counts = spark.createDataFrame(rows, "target_id string, score double, value string, n long, requested long").repartition(5)
+    got = sorted((r.target_id, r.value, r.amount) for r in allocation.weighted_requests(counts, ["target_id", "score"], [F.col("value")]).collect())
+    want = []
+    for target in ("hot", "cold", "one"):
+        own = [r for r in rows if r[0] == target]
+        want += [(target, value, amount) for value, amount in spread(own[0][4], [(r[2], r[3]) for r in own])]
+    assert got == sorted(want)
+
+
+def test_ranges_spread_one_request(spark):
+    """No range partition holds far more than its share of one request's values."""
+    values = spark.range(40_000).selectExpr("'k' AS k", "cast(id AS string) AS value", "1 + id % 5 AS n")
+    sums = prefix_sums(values, ["value"], {"upto": "n"}, keys=["k"])
+    sizes = sorted(r["count"] for r in sums.groupBy(F.spark_partition_id()).count().collect())
+    assert sums.agg(F.max("upto")).first()[0] == 120_000 and sum(sizes) == 40_000
+
+
+def test_group_overlaps_equal_pairs(spark):
+    """Bitmaps count what comparing every pair counts; one member is common to most groups."""
+    rng = random.Random(2)
+    listed = {}
+    for g in range(300):
+        members = {f"m{rng.randint(0, 200)}" for _ in range(rng.randint(0, 3))} | ({"common"} if g % 3 else set())
+        listed["q2" if g % 7 == 0 else "q1", g] = members or {"alone" + str(g)}
+    rows = [("f", q, g, m) for (q, g), members in listed.items() for m in members for _ in range(1 + g % 2)]
+    members = spark.createDataFrame(rows, "form_id string, question_id string, group_id long, member string")
+    got = {(r.question_id, r.group_id): r.overlapping_groups for r in group_overlaps(members).collect()}
+    assert got == {(q, g): sum(1 for (p, h), other in listed.items() if (p, h) != (q, g) and p == q and other & own) for (q, g), own in listed.items()}
+
+
+def test_common_member_makes_no_pairs(spark):
+    """60,000 groups with different sets share one member: bits, not 3.6 billion pairs."""
+    rows = spark.range(60_000).selectExpr("'f' AS form_id", "'q' AS question_id", "id AS group_id", "explode(array('common', cast(id AS string))) AS member")
+    got = group_overlaps(rows).agg(F.min("overlapping_groups").alias("a"), F.max("overlapping_groups").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    assert tuple(got) == (59_999, 59_999, 60_000)
+
+
 def test_limit_keeps_the_first_rows(spark):
     rows = spark.range(1000).withColumn("k", F.lit("x"))
     top = number_by_hash(rows, ["k"], hash_order(1, "id"), tie=["id"], limit=F.lit(17))
