@@ -48,8 +48,12 @@ def form_index(sections: DataFrame, questions: DataFrame, transitions: DataFrame
 
 
 def with_marks(responses: DataFrame, index: DataFrame) -> DataFrame:
-    """Join the form index and add what the answers prove: section marks and conflicts."""
-    rows = responses.join(index, "form_id")
+    """Join the form index and add what the answers prove: section marks and conflicts.
+
+    A response of a form without questions stays, with an empty path.
+    """
+    none = F.array().cast(index.schema["questions"].dataType)
+    rows = responses.join(index, "form_id", "left").withColumn("questions", F.coalesce("questions", none))
     answered = F.filter("answers", lambda a: a["state"] == ANSWERED)
 
     def step(a: Column) -> Column:

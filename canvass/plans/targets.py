@@ -170,7 +170,7 @@ def preview(targets: DataFrame, drafts: DataFrame, metrics: DataFrame, source_co
     """
     c = F.col
     base = (
-        drafts.join(source_counts, "form_id")
+        drafts.join(source_counts, "form_id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))
         .join(metrics.where(c("metric") != "mean"), "form_id")
         .withColumn("kind", F.when(c("metric") == "conditional_share", "conditional_share").otherwise("share"))
     )

@@ -399,10 +399,10 @@ def option_support(spark, sf_dir):
     return G.option_support(_slots(spark, sf_dir), field.options(spark, sf_dir).where(c("question_id") == "q_flags"))
 
 
-@query("set06", BASE_SQL.rstrip() + ", " + CELLS_SQL + " SELECT form_id, count(DISTINCT cell) AS cells FROM cells GROUP BY 1")
+@query("set06", BASE_SQL + """SELECT form_id, question_id, count(*) AS cells FROM (
+   SELECT DISTINCT form_id, question_id, option_key, option_keys, score, text FROM slots WHERE state = 'answered') GROUP BY 1, 2""")
 def distinct_cells(spark, sf_dir):
-    cells = G.observed_cells(_slots(spark, sf_dir)).where(c("kind") == "multi_choice")
-    return cells.where(F.size("option_keys") > 0).groupBy("form_id").agg(F.count(F.lit(1)).alias("cells"))
+    return G.observed_cells(_slots(spark, sf_dir)).groupBy("form_id", "question_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("join14", BASE_SQL + """SELECT DISTINCT m.form_id, m.group_id, m.question_id FROM members m

@@ -373,14 +373,14 @@ def other_fallback(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("answers"))
 
 
-@query("scl08", PATH_SQL + "SELECT form_id, pr AS label_key, count(*) AS answers FROM r WHERE c_acctbal >= 2000 AND st <> 'P' GROUP BY 1, 2")
+@query("scl08", PATH_SQL + f"SELECT form_id, coalesce(other_value, value) AS label_key, count(*) AS answers FROM ({TYPED_SQL}) WHERE question_id = 'q_priority' GROUP BY 1, 2")
 def label_keys_of_answers(spark, sf_dir):
     from canvass.functions.labels import label_keys
 
     parsed = SR.parse_responses(landed_responses(spark, sf_dir))
     labels = parsed.select("form_id", F.inline("entries")).where(F.col("question_id") == "q_priority")
     return (
-        labels.select("form_id", F.explode("texts").alias("raw")).where(~F.col("raw").startswith("about"))
+        labels.select("form_id", F.explode("texts").alias("raw"))
         .groupBy("form_id", "raw").agg(F.count(F.lit(1)).alias("n"))
         .select("form_id", label_keys(F.array("raw"))[0].alias("label_key"), "n")
         .groupBy("form_id", "label_key").agg(F.sum("n").alias("answers"))

@@ -397,12 +397,14 @@ def achievement_vector(spark, sf_dir):
     )
 
 
-@query("agg26", S.rstrip() + ", " + OUTCOME_SQL + """ SELECT round(sum(CASE WHEN target_id = 'mean' THEN abs(achieved - requested) / 4 ELSE abs(achieved - requested) END), 9) AS selection_error FROM oe WHERE target_id <> 'count'""")
+@query("agg26", S.rstrip() + ", " + OUTCOME_SQL + """, e AS (SELECT *, abs(achieved - requested) / CASE target_id WHEN 'mean' THEN 4 ELSE 1 END AS error FROM oe)
+ SELECT round(sum(error) FILTER (WHERE target_id <> 'count'), 9) AS open_error, bool_or(target_id = 'count' AND error > 0) AS infinite FROM e""")
 def selection_error(spark, sf_dir):
-    open_targets = [t for t in TARGETS if t.kind != "count"]
-    return V.selection_error(V.outcomes(flat(spark, sf_dir), open_targets)).select(
-        F.round("selection_error", 9).alias("selection_error")
-    )
+    """All targets: a missed exact count makes the whole error infinite, whatever the others add up to."""
+    outcome = V.outcomes(flat(spark, sf_dir), TARGETS)
+    open_error = V.selection_error(outcome.where(c("kind") != "count")).select(F.round("selection_error", 9).alias("open_error"))
+    # One-row tables side by side.
+    return open_error.join(V.selection_error(outcome).select((c("selection_error") == float("inf")).alias("infinite")))
 
 
 @query("sel04", S.rstrip() + ", " + OUTCOME_SQL + """ SELECT target_id, round(achieved, 9) AS achieved FROM oe""")

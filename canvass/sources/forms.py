@@ -36,9 +36,13 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
 
 
 def form_items(raw: DataFrame, json_column: str = "payload") -> DataFrame:
-    """One row per item with its position and the order of the section it belongs to."""
-    parsed = raw.select(F.from_json(json_column, FORM_JSON).alias("form"))
-    items = parsed.select(F.col("form.formId").alias("form_id"), F.posexplode("form.items").alias("pos", "item"))
+    """One row per item with its position and the order of the section it belongs to.
+
+    A form without items keeps one row without an item; documents that are no form give none
+    (:func:`malformed_forms`).
+    """
+    parsed = raw.select(F.from_json(json_column, FORM_JSON).alias("form")).where(~_malformed())
+    items = parsed.select(F.col("form.formId").alias("form_id"), F.posexplode_outer("form.items").alias("pos", "item"))
     is_break = F.col("item.pageBreakItem").isNotNull()
     in_order = Window.partitionBy("form_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return items.withColumn("is_break", is_break).withColumn(
@@ -46,6 +50,17 @@ def form_items(raw: DataFrame, json_column: str = "payload") -> DataFrame:
     )
 
 
+def _malformed() -> Column:
+    """No form id, or no list of items (an empty list is a form without questions)."""
+    return F.coalesce(F.col("form.formId"), F.lit("")).eqNullSafe("") | F.col("form.items").isNull()
+
+
+def malformed_forms(raw: DataFrame, json_column: str = "payload") -> DataFrame:
+    """Documents that are no form: form_id (if it can be read), code, ref (hash of the document)."""
+    parsed = raw.select(F.from_json(json_column, FORM_JSON).alias("form"), F.sha2(F.coalesce(F.col(json_column), F.lit("")), 256).alias("ref"))
+    return parsed.where(_malformed()).select(F.col("form.formId").alias("form_id"), F.lit("malformed_form").alias("code"), "ref")
+
+
 def build_sections(items: DataFrame) -> DataFrame:
     """Page breaks open sections after the entry section; ``next_section_id`` is the successor."""
     entry = items.select("form_id").distinct().select(
@@ -211,7 +226,7 @@ def normalise_forms(raw: DataFrame, json_column: str = "payload") -> FormTables:
         ).select("form_id", F.lit(code).alias("code"), "ref")
 
     errors = (
-        repeated(sections, "section_id", "duplicate_section")
+        malformed_forms(raw, json_column).unionByName(repeated(sections, "section_id", "duplicate_section"))
         .unionByName(repeated(questions, "question_id", "duplicate_question"))
         .unionByName(
             transitions.where(F.col("error").isNotNull()).select(

@@ -97,6 +97,11 @@ def _picked(entry: Column) -> Column:
     )
 
 
+def _nameless(file: Column) -> Column:
+    """A file answer without name, type and id."""
+    return F.concat_ws("", file["file_name"], file["mime_type"], file["file_id"]) == ""
+
+
 def _typed(entry: Column) -> Column:
     """One typed slot and the error that kept the answer out, if any."""
     spec, texts, picks = entry["spec"], entry["texts"], entry["picks"]
@@ -120,6 +125,7 @@ def _typed(entry: Column) -> Column:
         .when(kind == "ordinal", F.coalesce(ordinal["error"], F.when(first.isNull(), "invalid_ordinal")))
         .when(kind == "date", F.coalesce(date["error"], F.when(first.isNull(), "invalid_date")))
         .when(kind == "time", F.coalesce(clock["error"], F.when(first.isNull(), "invalid_time")))
+        .when(kind == "file", F.when(F.exists(entry["files"], _nameless), "invalid_file"))
     )
     single, multi = kind == "single_choice", kind == "multi_choice"
     file_names = F.transform(
@@ -146,10 +152,11 @@ def _typed(entry: Column) -> Column:
 def type_answers(parsed: DataFrame, index: DataFrame) -> DataFrame:
     """Adds ``answers`` (answered slots) and ``answer_errors`` (question id, code).
 
-    Unknown question ids and empty answers are no answers. Only choice texts go through the
+    Every response stays: one of a form without questions has no answers, one without a readable
+    time gets the error ``invalid_submission_time`` (no question id). Unknown question ids and empty answers are no answers. Only choice texts go through the
     Unicode step, as one Arrow batch per response array.
     """
-    rows = parsed.join(index, "form_id")
+    rows = parsed.join(index, "form_id", "left")
     known = F.filter(
         F.transform(
             "entries",
@@ -188,9 +195,15 @@ def type_answers(parsed: DataFrame, index: DataFrame) -> DataFrame:
     return rows.select(
         "form_id", "response_id", "submitted_at",
         F.transform(F.filter("typed", lambda t: t["error"].isNull()), lambda t: t["slot"]).alias("answers"),
-        F.transform(
-            F.filter("typed", lambda t: t["error"].isNotNull()),
-            lambda t: F.struct(t["slot"]["question_id"].alias("question_id"), t["error"].alias("code")),
+        F.concat(
+            F.when(
+                F.col("submitted_at").isNull(),
+                F.array(F.struct(F.lit(None).cast("string").alias("question_id"), F.lit("invalid_submission_time").alias("code"))),
+            ).otherwise(F.array()),
+            F.transform(
+                F.filter("typed", lambda t: t["error"].isNotNull()),
+                lambda t: F.struct(t["slot"]["question_id"].alias("question_id"), t["error"].alias("code")),
+            ),
         ).alias("answer_errors"),
     )
 
