@@ -194,6 +194,34 @@ def test_mean_end_to_end(spark):
     assert done.outcome.first()["achieved"] == pytest.approx(4.3)
 
 
+def test_drawn_times_follow_the_source(spark):
+    """Lumpy times (days, a rush, a gap): the drawn ones stay within 0.01 of the source's distribution."""
+    size = 20_000
+    at = "timestamp_micros(cast(case when id % 4 = 0 then 86400e6 * (id % 90) when id % 4 < 3 then 86400e6 * 200 + 3600e6 * pow(id / 20000, 3) else 86400e6 * 300 * (id / 20000) end as bigint))"
+    source = spark.range(size).selectExpr("cast(1 + id % 5 as double) AS score", "if(id % 3 = 0, 'a', 'b') AS segment", f"{at} AS submitted_at")
+    model = copula.fit(source, ["score"], ["segment"], "submitted_at")
+    rows = spark.range(100_000).selectExpr("id", "cast(map() as map<string,string>) AS given")
+    micros = lambda df: np.sort(np.array([r[0] for r in df.selectExpr("unix_micros(cast(submitted_at as timestamp))").collect()]))
+    have, drawn = micros(source), micros(copula.sample(model, rows, [()], 7, ["id"]))
+    points = np.unique(np.r_[have, drawn])
+    cdf = lambda x: np.searchsorted(x, points, side="right") / len(x)
+    # Between two quantiles times are spread evenly: a lump of many equal times is compared at its ends.
+    assert np.abs(cdf(have) - cdf(drawn)).max() < 0.02
+    ends = np.quantile(have, np.linspace(0, 1, 21)[1:-1], method="nearest")
+    for x in ends:
+        below, upto = (have < x).mean(), (have <= x).mean()
+        assert below - 0.01 < (drawn <= x).mean() < upto + 0.01
+    assert drawn.min() >= have.min() and drawn.max() <= have.max()
+
+
+def test_time_scores_rise_with_time(spark):
+    source = spark.range(5000).selectExpr("timestamp_micros(cast(pow(id, 2) as bigint)) AS at", "id")
+    grid = tuple(source.selectExpr(f"percentile_approx(unix_micros(at), array({', '.join(str(i / (copula.TIME_GRID - 1)) for i in range(copula.TIME_GRID))}), 10000)").first()[0])
+    got = [r.z for r in source.select(copula._time_score("at", grid).alias("z"), "id").orderBy("id").collect()]
+    want = np.interp([i * i for i in range(5000)], grid, copula._grid_z(len(grid)))
+    assert np.allclose(got, want, atol=1e-6) and sorted(got) == got
+
+
 @pytest.mark.parametrize("levels", [255, 256, 257])
 def test_missing_scores_keep_their_normal_score(spark, monkeypatch, levels):
     """The joint model is the same whether levels are looked up by join or from literals."""
