@@ -30,7 +30,7 @@ class Encoder:
     do not: each chunk is encoded once by the library and remembered; of the memory the
     older half goes when ``limit`` new chunks have come. Other texts go to the library whole.
     A word with one mark after it is put together from the word and the mark.
-    Special tokens written out in a text are ordinary text.
+    Special tokens written out in a text become their ids, as in a plain call of the library; such texts go to it whole.
     """
 
     def __init__(self, path: str, limit: int = 300_000) -> None:
@@ -38,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.lowered = "Lowercase" in str(self.tokenizer.normalizer)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -76,7 +76,7 @@ class Encoder:
     def __call__(self, texts: Sequence[str | None], end: int) -> list[bytes]:
         """Each text's ids followed by ``end``; a null text counts as empty."""
         tail = end.to_bytes(4, "little")
-        cut = [_chunks(t or "") for t in texts]
+        cut = [None if t and any(s in t for s in self.special) else _chunks(t or "") for t in texts]
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older

@@ -85,9 +85,9 @@ def test_encoder_equals_library():
     rng = random.Random(1)
     letters = " \n\t\x0b   ab1,.'sé́ß<|endoftext|>\x1c\x85Σ中😀 \n  "
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [r[1] for r in odd_rows()]
+    texts += ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext|", "word <|endoftext|>\n" * 50]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         library = Tokenizer.from_file(public_path(name))
-        library.encode_special_tokens = True
         want = [np.array(x.ids + [7], "<u4").tobytes() for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert Encoder(public_path(name), limit=500)(texts, 7) == want
 
