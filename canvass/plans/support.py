@@ -101,17 +101,48 @@ def nearest_numerator(denominator: Column, population: Column, numerator: Column
     )
 
 
+def _windows(groups: DataFrame) -> Column:
+    """The stretches of denominators that can hold the least total error: array of (lo, hi).
+
+    Between two breakpoints (where a target's wanted numerator enters the feasible range) each
+    error either falls with the denominator, or is the distance of ``value * denominator`` to a whole
+    number over the denominator. With values of k decimals these distances repeat every 10^k
+    denominators, so a denominator is never better than the one 10^k further on: the last 10^k of
+    every stretch are enough, whatever its length. Values without such a period scan everything.
+    """
+    c, whole = F.col, lambda x: F.abs(x - F.rint(x)) < 1e-7
+    decimals = F.array_min(F.filter(
+        F.sequence(F.lit(0), F.lit(6)), lambda k: F.forall("targets", lambda t: whole(t["value"] * F.pow(F.lit(10.0), k)))
+    ))
+    period = F.pow(F.lit(10.0), decimals).cast("long")
+    enters = lambda wanted, share: F.when(share > 0, F.least(F.floor(wanted / share), c("stop").cast("double")).cast("long"))
+    ends = F.array_distinct(F.array_compact(F.concat(
+        F.transform("targets", lambda t: enters(t["source_numerator"].cast("double"), t["value"])),
+        F.transform("targets", lambda t: enters((c("source_population") - t["source_numerator"]).cast("double"), 1 - t["value"])),
+        F.array(c("stop")),
+    )))
+    near = F.filter(
+        F.transform(ends, lambda e: F.struct(F.greatest(c("start"), e - period).alias("lo"), F.least(c("stop"), e + 1).alias("hi"))),
+        lambda w: w["lo"] <= w["hi"],
+    )
+    scanned = F.aggregate(near, F.lit(0).cast("long"), lambda n, w: n + w["hi"] - w["lo"] + 1)
+    all_of_it = F.array(F.struct(c("start").alias("lo"), c("stop").alias("hi")))
+    return F.when(period.isNull() | (scanned > c("stop") - c("start")), all_of_it).otherwise(near)
+
+
 def _scan_denominators(groups: DataFrame) -> DataFrame:
-    """Every candidate denominator of every group, exploded in blocks so that a long range is
-    spread over tasks and never sits in one array."""
-    start = F.greatest(F.lit(1).cast("long"), F.col("source_population"))
-    stop = F.col("source_population") + F.col("available")
-    blocks = groups.withColumn("start", start).withColumn("stop", stop).where(F.col("start") <= F.col("stop")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("stop") - F.col("start")) / _SCAN_BLOCK))).alias("block")
-    )
-    first = F.col("start") + F.col("block") * _SCAN_BLOCK
+    """The denominators of every group that can be best, exploded in blocks so that a long
+    stretch is spread over tasks and never sits in one array."""
+    start = F.greatest(F.lit(1).cast("long"), F.col("source_population").cast("long"))
+    stop = (F.col("source_population") + F.col("available")).cast("long")
+    ranged = groups.withColumn("start", start).withColumn("stop", stop).where(F.col("start") <= F.col("stop"))
+    stretches = ranged.select("*", F.inline(_windows(ranged)))
+    blocks = stretches.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / _SCAN_BLOCK))).alias("block")
+    )
+    first = F.col("lo") + F.col("block") * _SCAN_BLOCK
     return blocks.select(
-        "*", F.explode(F.sequence(first, F.least(first + _SCAN_BLOCK - 1, F.col("stop")))).alias("denominator")
+        "*", F.explode(F.sequence(first, F.least(first + _SCAN_BLOCK - 1, F.col("hi")))).alias("denominator")
     )
 
 
@@ -119,9 +150,9 @@ def conditional_support(df: DataFrame, keys: Sequence[str], carry: Sequence[str]
     """Best denominator per group of targets that share a population and a checkbox question.
 
     Input, one row per target: ``keys`` of the group, target_id, source_population,
-    source_numerator, value, available (population additions the draft allows). Each
-    denominator is scored for all targets of its group; the least total error wins, ties to
-    the larger denominator.
+    source_numerator, value, available (population additions the draft allows). A
+    denominator that can be best is scored for all targets of its group; the least total error
+    wins, ties (to 12 decimals, beyond which sums of doubles differ by chance) to the larger one.
     """
     keys = list(keys)
     per_group = df.groupBy(*keys).agg(
@@ -138,7 +169,7 @@ def conditional_support(df: DataFrame, keys: Sequence[str], carry: Sequence[str]
     best = scanned.select(*keys, "denominator", error.alias("total_error")).groupBy(*keys).agg(
         F.min_by(
             F.struct("denominator", "total_error"),
-            F.struct(F.col("total_error"), -F.col("denominator")),
+            F.struct(F.round("total_error", 12), -F.col("denominator")),
         ).alias("best")
     )
     planned = df.join(best, keys, "left")

@@ -365,7 +365,7 @@ COND_SQL = f""", ci AS (SELECT d.draft_id, x.option_key AS target_id, x.denomina
      abs(least(greatest(floor(value * d), num), num + d - pop) / d - value), abs(least(greatest(ceil(value * d), num), num + d - pop) / d - value)) AS err
    FROM ci, LATERAL (SELECT unnest(range(greatest(1, pop), pop + available + 1)) AS d) u),
  tot AS (SELECT draft_id, d, sum(err ORDER BY target_id) AS total_error FROM sc GROUP BY 1, 2),
- best AS (SELECT draft_id, d AS denominator, total_error FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY total_error, d DESC) AS k FROM tot) WHERE k = 1)"""
+ best AS (SELECT draft_id, d AS denominator, total_error FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY round(total_error, 12), d DESC) AS k FROM tot) WHERE k = 1)"""
 
 
 @query("tgt04", TB + COND_SQL + """ SELECT ci.draft_id, ci.target_id, b.denominator, round(s.err, 9) AS absolute_error, round(b.total_error, 9) AS total_error,

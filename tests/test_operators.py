@@ -1,5 +1,6 @@
 """Numbering, prefix sums, plans, parsers, quality and routing on small literal inputs."""
 
+import math
 import random
 
 import pytest
@@ -89,6 +90,39 @@ def test_common_member_makes_no_pairs(spark):
     assert tuple(got) == (59_999, 59_999, 60_000)
 
 
+def test_conditional_support_equals_the_whole_scan(spark):
+    """The stretches that are scanned hold the best denominator of all, ties to the larger one."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for g in range(150):
+        population, available = rng.randint(0, 60), rng.randint(0, 400)
+        own = [(f"t{i}", rng.randint(0, population), rng.choice([0.0, 1.0, 0.5, round(rng.random(), 1), round(rng.random(), 2), rng.random()])) for i in range(rng.randint(1, 3))]
+        rows += [(g, t, population, n, v, available) for t, n, v in own]
+        best = None
+        for d in range(max(1, population), population + available + 1):
+            total = 0.0
+            for _, n, v in own:
+                low, high = n, n + d - population
+                total += min(abs(min(max(x, low), high) / d - v) for x in (low, high, math.floor(v * d), math.ceil(v * d)))
+            key = (round(total, 12), -d)
+            best = key if best is None or key < best else best
+        want[g] = None if best is None else -best[1]
+    df = spark.createDataFrame(rows, "g long, target_id string, source_population long, source_numerator long, value double, available long")
+    got = {r.g: r.denominator for r in S.conditional_support(df, ["g"]).collect()}
+    assert got == want
+
+
+def test_conditional_support_of_a_billion_rows(spark):
+    """The work depends on the decimals of the values, not on the rows."""
+    rows = [(1, "a", 300_000_000, 100_000_000, 0.5, 700_000_000), (1, "b", 300_000_000, 1, 0.25, 700_000_000), (2, "a", 10**9, 0, 0.1234, 10**9)]
+    df = spark.createDataFrame(rows, "g long, target_id string, source_population long, source_numerator long, value double, available long")
+    got = {(r.g, r.target_id): (r.denominator, r.numerator) for r in S.conditional_support(df, ["g"]).collect()}
+    assert got == {(1, "a"): (10**9, 5 * 10**8), (1, "b"): (10**9, 25 * 10**7), (2, "a"): (2 * 10**9, 246_800_000)}
+    scanned = S._scan_denominators(df.groupBy("g").agg(
+        F.max("source_population").alias("source_population"), F.max("available").alias("available"), F.collect_list(F.struct("target_id", "source_numerator", "value")).alias("targets")))
+    assert scanned.count() < 50_000
+
+
 def test_limit_keeps_the_first_rows(spark):
     rows = spark.range(1000).withColumn("k", F.lit("x"))
     top = number_by_hash(rows, ["k"], hash_order(1, "id"), tie=["id"], limit=F.lit(17))
