@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.slots import eligible, explode_slots, group_value
+from canvass.scale import broadcast_if_small
 from canvass.schema import ANSWERED
 from canvass.session import materialise
 
@@ -136,7 +137,8 @@ def group_hits(responses: DataFrame, members: DataFrame) -> DataFrame:
     """(response, group) pairs, carrying the response's eligible checkbox slots.
 
     Exploding inside the row and carrying the checkbox slots along replaces the self join
-    that a long table would need for conditional shares.
+    that a long table would need for conditional shares. Members are broadcast after a count
+    of them, so that values of no group never leave their task.
     """
     checks = F.transform(
         F.filter("answers", lambda a: (a["kind"] == "multi_choice") & eligible(a["state"])),
@@ -155,20 +157,35 @@ def group_hits(responses: DataFrame, members: DataFrame) -> DataFrame:
         responses.select("form_id", "response_id", checks.alias("checks"), F.explode_outer(values).alias("v"))
         .where(F.col("v").isNotNull())
         .select("form_id", "response_id", "checks", "v.question_id", "v.member")
-        .join(group_members(members), ["form_id", "question_id", "member"])
+        .join(broadcast_if_small(group_members(members)), ["form_id", "question_id", "member"])
     )
 
 
 def group_cells(responses: DataFrame, members: DataFrame) -> DataFrame:
-    """(form, group, checkbox slots of the member, n): all that group metrics need."""
-    return group_hits(responses, members).groupBy("form_id", "group_id", "checks").agg(
-        F.count(F.lit(1)).alias("n")
+    """(form, group, question, option, n): all that group metrics need, as facts of the group's responses.
+
+    A fact without a question counts the group, one without an option the eligible cells of a
+    checkbox question. Facts are made in the response's row and added up before they move: what is
+    shuffled is bounded by groups times options, however many checkbox questions there are.
+    """
+    picked = lambda c: F.when(
+        c["state"] == ANSWERED, F.coalesce(F.array_distinct(c["option_keys"]), F.array())
+    ).otherwise(F.array())
+    fact = lambda question, option: F.struct(question.alias("question_id"), option.alias("option_key"))
+    none = F.lit(None).cast("string")
+    of_checks = F.flatten(F.transform(
+        "checks", lambda c: F.transform(F.concat(F.array(none), picked(c)), lambda k: fact(c["question_id"], k))
+    ))
+    return (
+        group_hits(responses, members)
+        .select("form_id", "group_id", F.explode(F.concat(F.array(fact(none, none)), of_checks)).alias("f"))
+        .groupBy("form_id", "group_id", "f.question_id", "f.option_key").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def group_metrics(cells: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """Count and share of every value group; groups may overlap."""
-    counts = cells.groupBy("form_id", "group_id").agg(F.sum("n").alias("n"))
+    counts = cells.where(F.col("question_id").isNull()).select("form_id", "group_id", "n")
     n, d = F.coalesce("n", F.lit(0)), F.coalesce("eligible", F.lit(0))
     return (
         members.select("form_id", "group_id", "question_id").distinct()
@@ -186,22 +203,7 @@ def conditional_metrics(cells: DataFrame, members: DataFrame, options: DataFrame
 
     ``options`` lists the checkbox options to report.
     """
-    picked = lambda c: F.when(
-        c["state"] == ANSWERED, F.coalesce(F.array_distinct(c["option_keys"]), F.array())
-    ).otherwise(F.array())
-    facts = F.flatten(
-        F.transform(
-            "checks",
-            lambda c: F.transform(
-                F.concat(F.array(F.lit(None).cast("string")), picked(c)),
-                lambda k: F.struct(c["question_id"].alias("question_id"), k.alias("option_key")),
-            ),
-        )
-    )
-    counts = (
-        cells.select("form_id", "group_id", "n", F.explode_outer(facts).alias("f")).where(F.col("f").isNotNull())
-        .groupBy("form_id", "group_id", "f.question_id", "f.option_key").agg(F.sum("n").alias("n"))
-    )
+    counts = cells.where(F.col("question_id").isNotNull())
     # The null key counts the population; the map holds the options of one question.
     per_question = counts.groupBy("form_id", "group_id", "question_id").agg(
         F.sum(F.when(F.col("option_key").isNull(), F.col("n"))).alias("population"),
