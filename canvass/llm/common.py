@@ -27,6 +27,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for added columns that no column of ``df`` begins with, whatever the case."""
+    own = "__own_"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    return own
+
+
 def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back.
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import conf_during, discard, settle, shuffle_parts, small_batches
+from canvass.llm.common import conf_during, discard, free_prefix, settle, shuffle_parts, small_batches
 from canvass.llm.repeats import _ARROW, ByteWindows, WordWindows, mix, open_part, write_parts
 
 WORDS = 5
@@ -353,6 +353,7 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, or null. doc_id is taken as a key."""
-    gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose doc_id is the least of its class, or null. Rows that repeat a doc_id go or stay together."""
+    gone = f"{free_prefix(docs)}gone"
+    others = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")

@@ -195,6 +195,18 @@ def test_suffix_dedup(odd, none, sizes):
     assert clean.columns == odd.columns and clean.count() == odd.count()
 
 
+def test_repeated_ids_and_clashing_columns(spark):
+    """Rows that repeat a doc_id come back once each, with their own texts; added names never clash."""
+    passage = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, passage, "a", "x"), (2, "head " + passage, "b", "x"), (2, "head " + passage, "c", "x"), (2, passage + " tail é", "d", "x"), (2, None, "e", "x"), (None, passage, "f", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own_text string, __own__gone string")
+    got = {r["__own_text"]: r.text for r in suffix_dedup.dedup_texts(docs).collect()}
+    assert got == {"a": passage, "b": "head ", "c": "head ", "d": " tail é", "e": None, "f": passage}
+    assert suffix_dedup.dedup_texts(docs).columns == docs.columns
+    near = spark.createDataFrame([(3, passage, "a"), (5, passage, "b"), (5, passage, "c"), (7, passage + " x", "d")], "doc_id long, text string, __own_gone string")
+    assert {r["__own_gone"] for r in minhash.keep_first(near).collect()} == {"a"}
+
+
 def test_null_ids_take_no_part(spark):
     text = "word " * 3 + " ".join(str(i) for i in range(40))
     docs = spark.createDataFrame([(None, text), (2, text), (2, text), (None, None)], "doc_id long, text string")
