@@ -14,7 +14,6 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canvass.operators.evaluate import epoch_micros
 from canvass.scale import hash_uniform, prefix_sums
@@ -42,15 +41,34 @@ class Copula:
     correlation: np.ndarray
 
 
-def inverse_normal(u: Column) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def quantile(batch):
-        from statistics import NormalDist
+# Coefficients of the rational approximations of the normal quantile (relative error below 1.2e-9),
+# highest power first: middle numerator and denominator, tail numerator and denominator, and where the tails begin.
+_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+_TAIL_BELOW = 0.02425
+
 
-        inv = NormalDist().inv_cdf
-        return batch.map(lambda p: inv(min(max(p, 1e-12), 1 - 1e-12)))
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
 
-    return quantile(u)
+
+def inverse_normal(u: Column) -> Column:
+    """Standard normal quantile as a plain column; probabilities are kept off 0 and 1."""
+    p = F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12))
+    q = p - F.lit(0.5)
+    low = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+    tail = _polynomial(_TAIL[0], low) / _polynomial(_TAIL[1], low)
+    middle = q * _polynomial(_MIDDLE[0], q * q) / _polynomial(_MIDDLE[1], q * q)
+    return F.when(p < _TAIL_BELOW, tail).when(p > 1 - _TAIL_BELOW, -tail).otherwise(middle)
 
 
 def hashed_normal(seed: int, index: int, *key: str) -> Column:

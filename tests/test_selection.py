@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canvass.plans import copula
 from canvass.plans import pipeline as PL
@@ -214,6 +215,17 @@ def test_drawn_times_follow_the_source(spark):
     assert drawn.min() >= have.min() and drawn.max() <= have.max()
 
 
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    points = [0.0, 1e-13, 1e-9, 1e-4, 0.02, 0.02425, 0.03, 0.3, 0.5, 0.7, 0.97, 0.97575, 0.98, 1 - 1e-6, 1.0, *[i / 997 for i in range(1, 997)]]
+    df = spark.createDataFrame([(p,) for p in points], "p double").select("p", copula.inverse_normal(F.col("p")).alias("z"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for p, z in df.collect():
+        want = NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12))
+        assert abs(z - want) <= 2e-8 * max(1.0, abs(want))
+
+
 def test_time_scores_rise_with_time(spark):
     source = spark.range(5000).selectExpr("timestamp_micros(cast(pow(id, 2) as bigint)) AS at", "id")
     grid = tuple(source.selectExpr(f"percentile_approx(unix_micros(at), array({', '.join(str(i / (copula.TIME_GRID - 1)) for i in range(copula.TIME_GRID))}), 10000)").first()[0])
