@@ -13,6 +13,7 @@ from canvass.functions.parsing import valid_score
 from canvass.functions.slots import cell_answered, cell_answered_option, cell_eligible
 from canvass.plans import copula, requests
 from canvass.plans.allocation import weighted_requests
+from canvass.plans.domains import refuse_unsupported, valid_time
 from canvass.plans.vectors import (
     ConditionalTarget, CountTarget, MeanTarget, ShareTarget, Target, membership,
 )
@@ -207,8 +208,7 @@ def generate_pool(
     Retries, selection and evaluation all read the same stored rows. Rows whose score or time
     leaves its domain are dropped; a request left short fails the attempt.
     """
-    if source.where(reduce(lambda a, b: a | b, [F.col(x).isNull() for x in job.categorical], F.lit(False))).take(1):
-        raise ValueError("categorical source cells must not be null")
+    refuse_unsupported(source, job)
     model = model or copula.fit(source, job.scores, job.categorical, job.time_column)
     table, patterns = request_table(source, job, additions, pool_size, plans)
     table = materialise(table)
@@ -232,6 +232,10 @@ def generate_pool(
             F.when(score.isNotNull(), requests.normalised_score(score, F.lit(mean.minimum), F.lit(mean.maximum)).cast("double")),
         )
         valid = valid & (score.isNull() | valid_score(F.col(mean.column), F.lit(mean.minimum), F.lit(mean.maximum)))
+    if job.time_column:
+        # Quantiles are observed times, so the first and last bound what the source covers.
+        first, last = (F.timestamp_micros(F.lit(model.time_grid[i])).cast("timestamp_ntz") for i in (0, -1))
+        valid = valid & valid_time(F.col(job.time_column), first, last)
     columns = [*job.scores, *job.categorical, *([job.time_column] if job.time_column else [])]
     pool = materialise(
         rows.where(valid).select(F.concat_ws("#", "request_id", "copy").alias("cand_id"), "request_id", *columns)

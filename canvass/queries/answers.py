@@ -10,6 +10,7 @@ from canvass.functions import slots as SL
 from canvass.functions.slots import explode_slots
 from canvass.operators import groups as G
 from canvass.operators import profile as P
+from canvass.plans import domains as D
 from canvass.plans import vectors as V
 from canvass.queries import field
 from canvass.queries.field import BASE_SQL, FLAGS_SQL, SURVEY_SQL, ctes
@@ -110,9 +111,7 @@ def score_cast(spark, sf_dir):
 def timestamp_validity(spark, sf_dir):
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     ts = F.try_to_timestamp(text)
-    valid = F.coalesce(
-        ts.between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")), F.lit(False)
-    )
+    valid = D.valid_time(ts, F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
     return field.table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count_if(valid).alias("valid"), F.count(F.lit(1)).alias("rows")
     )
@@ -124,15 +123,20 @@ def domain_validity(spark, sf_dir):
     """Allowed values are what the small parts show; every row must stay inside them."""
     part = field.table(spark, sf_dir, "part")
     allowed = part.where(c("p_size") < 3)
-    rows = part
-    for column in ("p_type", "p_brand"):
-        rows = rows.join(allowed.select(column).distinct(), column, "left_semi")
-    return rows.select("p_partkey")
+    return D.in_domains(part, {x: allowed for x in ("p_type", "p_brand")}).select("p_partkey")
 
 
-@query("flt12", """SELECT lang AS value, count(*) AS rows FROM documents GROUP BY 1""")
+@query("flt12", """WITH d AS (SELECT lang, source, CASE WHEN lang <> 'fr' THEN lang END AS gaps, n_chars AS number FROM documents)
+ SELECT 'lang' AS "column", count(*) AS rows, count(*) FILTER (WHERE lang IS NULL) AS nulls, count(*) = count(lang) AS valid FROM d
+ UNION ALL SELECT 'source', count(*), count(*) FILTER (WHERE source IS NULL), count(*) = count(source) FROM d
+ UNION ALL SELECT 'gaps', count(*), count(*) FILTER (WHERE gaps IS NULL), count(*) = count(gaps) FROM d
+ UNION ALL SELECT 'number', count(*), count(*) FILTER (WHERE number IS NULL), FALSE FROM d""")
 def categorical_source_check(spark, sf_dir):
-    return field.table(spark, sf_dir, "documents").groupBy(c("lang").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    """Text without gaps may be modelled as a category; a column with nulls or numbers may not."""
+    rows = field.table(spark, sf_dir, "documents").select(
+        "lang", "source", F.when(c("lang") != "fr", c("lang")).alias("gaps"), c("n_chars").alias("number")
+    )
+    return D.category_check(rows, ["lang", "source", "gaps", "number"])
 
 
 @query("flt14", S + """SELECT response_id, q_flags_state = 'answered' AS answered, q_status = 'P' AS holds_option FROM survey""")
