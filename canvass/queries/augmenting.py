@@ -262,7 +262,7 @@ def _outcome_sql(target: str, kind: str, requested: str, numerator: str, weight:
     """One outcome row over all f rows."""
     achieved = numerator if kind == "count" else f"{numerator} / f"
     error = f"abs({achieved} - CAST({requested} AS DOUBLE))"
-    weighted = f"CASE WHEN {error} > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END" if kind == "count" else f"{error} / {weight}"
+    weighted = f"CASE WHEN {error} > 0 THEN NULL ELSE CAST(0 AS DOUBLE) END" if kind == "count" else f"{error} / {weight}"
     return (
         f" SELECT '{target}' AS target_id, '{kind}' AS kind, CAST({requested} AS DOUBLE) AS requested, CAST({achieved} AS DOUBLE) AS achieved, {error} AS absolute_error, "
         f"CAST({numerator} AS DOUBLE) AS numerator, f AS denominator, {weighted} AS weighted_error FROM t"
@@ -338,11 +338,15 @@ _COUNT = PO.Job(
 @query("sel06", _SIZES_SQL + _outcome_sql("mean", "mean", "3.1", "floor(CAST(3.1 AS DOUBLE) * f + 0.5)", "4") + " UNION ALL "
        + _outcome_sql("few", "count", "100", "members", "1"))
 def relaxed_counts(spark, sf_dir):
-    """The count is below what the source already holds, so only the relaxed selection exists: no member is added."""
+    """The count is below what the source already holds, so only the relaxed selection exists: no member is added.
+
+    The weighted error of the missed count is infinite; shown as null.
+    """
     j = job(spark, sf_dir, _COUNT)
     chosen = SEL.select_for_targets(source(spark, sf_dir), pool(spark, sf_dir), j, enforce_counts=False)
     columns = ["score_q_score", *JOB.categorical]
-    return V.outcomes(source(spark, sf_dir).select(*columns).unionByName(chosen.select(*columns)), j.targets)
+    outcome = V.outcomes(source(spark, sf_dir).select(*columns).unionByName(chosen.select(*columns)), j.targets)
+    return outcome.withColumn("weighted_error", F.nullif("weighted_error", F.lit(float("inf"))))
 
 
 _HIGH = PO.Job(
