@@ -118,12 +118,14 @@ def explode_count(df: DataFrame, amount: Column, out: str, block: int = 4096) ->
     """Repeat each row ``amount`` times, numbered from 1.
 
     Blocks are exploded first and spread over tasks, so that one row asking for billions of
-    copies neither builds a huge array nor keeps one task busy.
+    copies neither builds a huge array nor keeps one task busy. The number of tasks is given: the
+    blocks are few and small, and AQE, which sees only their bytes, would put them into one task.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = df.withColumn("__amount", amount.cast("long")).where(F.col("__amount") > 0).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__amount") - 1) / block))).alias("__block")
     )
     first = F.col("__block") * block
-    return blocks.repartition("__block", *df.columns[:1]).select(
+    return blocks.repartition(parts, "__block", *df.columns[:1]).select(
         *df.columns, F.explode(F.sequence(first + 1, F.least(first + block, F.col("__amount")))).alias(out)
     )
