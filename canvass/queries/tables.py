@@ -21,8 +21,8 @@ from canvass.queries.field import BASE_SQL, SURVEY_SQL, ctes
 from canvass.queries.planning import TM
 from canvass.queries.profiles import OPTION_METRIC_SQL
 from canvass.queries.registry import query
-from canvass.scale import hash_order, number_by_hash, prefix_sums
-from canvass.session import shared_dir
+from canvass.scale import hash_order, join_dimension, number_by_hash, prefix_sums
+from canvass.session import materialise, shared_dir
 from canvass.sources import tables as ST
 from canvass.sources.flat import decode_result
 
@@ -368,10 +368,9 @@ def frozen_baselines(spark, sf_dir):
         scoped, field.questions(spark, sf_dir), field.options(spark, sf_dir), field.members(spark, sf_dir),
         field.score_map(spark, sf_dir),
     )
-    metrics = T.subject_metrics(profile, field.questions(spark, sf_dir))
-    return planning.targets(spark, sf_dir).withColumn("subject_key", T.subject_key()).join(
-        metrics, ["form_id", "subject_key"]
-    ).select("draft_id", "position", "count", "denominator_count", "metric_value")
+    metrics = materialise(T.subject_metrics(profile, field.questions(spark, sf_dir)))
+    targets = planning.targets(spark, sf_dir).withColumn("subject_key", T.subject_key())
+    return join_dimension(targets, metrics, ["form_id", "subject_key"]).select("draft_id", "position", "count", "denominator_count", "metric_value")
 
 
 TARGETS = (

@@ -114,6 +114,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def join_dimension(rows: DataFrame, dimension: DataFrame, on: str | Sequence[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """Broadcast the dimension only after counting it, otherwise merge; ``rows`` are never broadcast.
+
+    AQE goes by compressed bytes: many small rows look small to it and are large in a hashed relation.
+    """
+    return rows.join(F.broadcast(dimension) if has_at_most(dimension, most) else dimension.hint("merge"), on, how)
+
+
 def explode_count(df: DataFrame, amount: Column, out: str, block: int = 4096) -> DataFrame:
     """Repeat each row ``amount`` times, numbered from 1.
 

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from canvass.scale import explode_count
+from canvass.queries import QUERIES
+from canvass.scale import explode_count, join_dimension
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_copies_are_spread_over_tasks(spark):
@@ -12,3 +15,22 @@ def test_copies_are_spread_over_tasks(spark):
     out = copies.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name", "copy").alias("different"), F.count_distinct("task").alias("tasks")).first()
     assert (out["n"], out["different"]) == (40_009, 40_009)
     assert out["tasks"] > 1
+
+
+def _after_run(df):
+    """The plan that was run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_grow_are_never_broadcast(spark):
+    rows = spark.range(50_000).select("id", (F.col("id") % 3).alias("k")).repartition(4, "id")
+    few = spark.range(3).select(F.col("id").alias("k"))
+    assert "BroadcastHashJoin [k" in _after_run(join_dimension(rows, few, "k")) and join_dimension(rows, few, "k").count() == 50_000
+    many = spark.range(3).select(F.col("id").alias("k")).repartition(2)
+    assert "BroadcastHashJoin" not in _after_run(join_dimension(rows, many, "k", most=2))
+
+
+def test_frozen_baselines_broadcast_metrics_not_targets(spark):
+    plan = _after_run(QUERIES["agg08"](spark, SF))
+    assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan.split("Inner, BuildRight")[0]
