@@ -263,16 +263,21 @@ def recognised_likert(spark, sf_dir):
 @query("scl10", """SELECT c_custkey AS form_id, n_scores = 5 AS bijection FROM (SELECT c_custkey, count(DISTINCT s) AS n_scores FROM (
    SELECT c_custkey, unnest([5, 4, 3, 2, CASE WHEN c_acctbal < 2000 THEN 2 ELSE 1 END]) AS s FROM customer) GROUP BY 1)""")
 def likert_bounds(spark, sf_dir):
-    """A mapping is usable when five keys carry the five scores 1..5."""
+    """A mapping is usable when five keys carry the five scores 1..5.
+
+    A form's rows come together first and its few keys and scores are gathered once, so that a task holds its
+    share of the forms; both sides of the join have a row or more per form, so neither is broadcast.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = field.table(spark, sf_dir, "customer").where(c("c_acctbal") < 2000).select(
         c("c_custkey").alias("form_id"), F.lit(True).alias("repeats")
     )
-    mapping = _likert_labels(spark, sf_dir).join(short, "form_id", "left").withColumn(
+    mapping = _likert_labels(spark, sf_dir).repartition(parts, "form_id").join(short.hint("merge"), "form_id", "left").withColumn(
         "score", F.when(c("repeats") & (c("score") == 1), 2).otherwise(c("score"))
     )
     return mapping.groupBy("form_id").agg(
         (
-            (F.count_distinct("option_key") == 5) & (F.count_distinct("score") == 5)
+            (F.size(F.collect_set("option_key")) == 5) & (F.size(F.collect_set("score")) == 5)
             & (F.min("score") == 1) & (F.max("score") == 5)
         ).alias("bijection")
     )

@@ -1,5 +1,6 @@
 """Steps whose tasks or broadcasts used to grow faster than they are spread."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from canvass.queries import QUERIES
@@ -34,3 +35,11 @@ def test_rows_that_grow_are_never_broadcast(spark):
 def test_frozen_baselines_broadcast_metrics_not_targets(spark):
     plan = _after_run(QUERIES["agg08"](spark, SF))
     assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan.split("Inner, BuildRight")[0]
+
+
+@pytest.mark.parametrize("name", ["scl10"])
+def test_forms_are_merged(spark, name):
+    """Tables with a row or more per form are not broadcast to one another."""
+    plan = _after_run(QUERIES[name](spark, SF)).split("+- == Initial Plan ==")[0]
+    assert "BroadcastHashJoin [form_id" not in plan
+    assert "BroadcastHashJoin [cast(form_id" not in plan
