@@ -195,7 +195,7 @@ def build_transitions(items: DataFrame, sections: DataFrame) -> DataFrame:
     )
     return (
         routing_candidates(items).where(F.col("dest_type").isNotNull())
-        .join(known, ["form_id", "dest_section_id"], "left")
+        .join(known.hint("merge"), ["form_id", "dest_section_id"], "left")
         .withColumn(
             "error",
             F.when((F.col("dest_type") == "section") & F.col("dest_ord").isNull(), "unknown_section"),
@@ -204,7 +204,8 @@ def build_transitions(items: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def normalise_forms(raw: DataFrame, json_column: str = "payload") -> FormTables:
-    # Documents are parsed once; every table below reads the stored items.
+    # Documents are parsed once; every table below reads the stored items. Tables that grow with the forms are
+    # merged, never broadcast: their compressed bytes say little about the rows in a hashed relation.
     items = materialise(form_items(raw, json_column))
     sections, questions, options = build_sections(items), build_questions(items), build_options(items)
     transitions = build_transitions(items, sections)
@@ -212,10 +213,10 @@ def normalise_forms(raw: DataFrame, json_column: str = "payload") -> FormTables:
         "affects_navigation", F.lit(True)
     )
     questions = (
-        questions.join(navigation, ["form_id", "question_id"], "left")
+        questions.join(navigation.hint("merge"), ["form_id", "question_id"], "left")
         .withColumn("affects_navigation", F.coalesce("affects_navigation", F.lit(False)))
         .join(
-            sections.select("form_id", F.col("ord").alias("section_ord"), "section_id"),
+            sections.select("form_id", F.col("ord").alias("section_ord"), "section_id").hint("merge"),
             ["form_id", "section_ord"], "left",
         )
     )

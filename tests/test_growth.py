@@ -37,7 +37,7 @@ def test_frozen_baselines_broadcast_metrics_not_targets(spark):
     assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan.split("Inner, BuildRight")[0]
 
 
-@pytest.mark.parametrize("name", ["scl10"])
+@pytest.mark.parametrize("name", ["scl10", "src04"])
 def test_forms_are_merged(spark, name):
     """Tables with a row or more per form are not broadcast to one another."""
     plan = _after_run(QUERIES[name](spark, SF)).split("+- == Initial Plan ==")[0]
