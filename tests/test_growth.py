@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from canvass.functions.slots import cell_eligible
+from canvass.plans import selection as SEL
 from canvass.plans import targets as T
+from canvass.plans import vectors as V
 from canvass.queries import QUERIES
 from canvass.scale import explode_count, join_dimension
 
@@ -70,3 +73,15 @@ def test_previews_unfold_in_place(spark):
         (3, "option:q:A"): ("d", "invalid", None, None),
     }
     assert "Generate" in plan.split("Aggregate")[0]
+
+
+def test_cells_are_read_once_per_target(spark):
+    """Signatures are never null: joining on them adds no filter that reads every cell again."""
+    cells = ['{"state":"answered"}', '{"state":"skipped"}', '{"state":"not_reached"}', '{"state":"indeterminate"}', '{"state":"other"}', "{}", "no slot", "", None]
+    rows = spark.createDataFrame([(c, i) for i, c in enumerate(cells)], "cell string, id int").repartition(2, "id")
+    assert [r[0] for r in rows.orderBy("id").select(cell_eligible(F.col("cell"))).collect()] == [True, True, False, False, True, True, True, True, True]
+    signed, names = SEL._signatures(rows, (V.ShareTarget("s", "cell", frozenset({cells[0]}), 0.5), V.MeanTarget("m", "id", 3.0, 0, 9)))
+    assert not any(signed.schema[n].nullable for n in names)
+    takes = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("take"))
+    plan = signed.join(F.broadcast(takes), names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
