@@ -3,12 +3,12 @@
 A shingle is five consecutive words; its weight is its count in the text times the mean inverse document
 frequency of its words, counted over all documents in hashed buckets of a fixed number. Samples are cut
 into bands; documents that share a band meet its least document, and then all those of it that are not yet
-in one class. Every meeting is verified by the weighted Jaccard similarity of the whole texts before it is a link.
+in one class, block against block. Every link is verified by the weighted Jaccard similarity of the whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,10 @@ WORDS = 5
 BANDS, ROWS = 12, 3
 LIKELY = 20  # of 36 samples that two texts share before they are compared
 BLOCK = 1024  # members of a bucket that meet so many others of it in one row of work
-FIRST = 8  # pairs of a node from two blocks in the first round; eight times as many in each further one
+BLOCK_BYTES = 1 << 22  # and the bytes of their texts; a longer text is a block by itself
+FIRST = 8  # pairs of a node of a block that are verified at once, likest first
+SLACK = 1e-3  # more than the rounding of similarities that are added up in single precision
+FEATURES = 2048  # shingles that are added up at once
 BUCKETS = 1 << 18
 _U = np.uint64
 _SPEC, _BYTES = WordWindows(), ByteWindows()
@@ -52,6 +55,12 @@ def shingles(tok: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> tuple[np.nda
 
     A text of fewer than five words is one shingle of all its words; one without words has none.
     """
+    doc, value, count, mean = counted(tok, ends, idf)
+    return doc, value, count * mean
+
+
+def counted(tok: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingles``, with the two factors of the weight: count in the text, mean inverse document frequency."""
     starts = np.r_[0, ends[:-1]].astype(np.int64)
     sizes = ends - starts
     doc_of = np.repeat(np.arange(len(ends)), sizes)
@@ -71,7 +80,7 @@ def shingles(tok: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     value, doc, mean = value[order], doc[order], mean[order]
     first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])][: len(value)])
     count = np.diff(np.r_[first, len(value)])
-    return doc[first], value[first], count * mean[first]
+    return doc[first], value[first], count, mean[first]
 
 
 def sample(doc: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,47 +118,111 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def meet(most: int):
-    """Pairs of two blocks (x, y), or of one with itself, that are in different classes and share enough samples.
+def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of two blocks (x, y), or of one with itself, that have to be compared: side 0 or 1, node, label.
 
-    Of each node at most ``most`` pairs are given, likest first; a pair of nulls says that some were held back.
+    They share enough samples with a node of another class, and no earlier band: two nodes are compared
+    where they meet first. A row is a node, so there are no more rows than members, however many pairs.
     """
 
-    def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
         cells = column[i].values
         sig = np.frombuffer(b"".join(cells.field("sig").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
-        return cells.field("node").to_numpy(), cells.field("label").to_numpy(), sig
-
-    def rank(score: np.ndarray) -> np.ndarray:
-        return np.argsort(np.argsort(-score, axis=1, kind="stable"), axis=1)
+        bands = cells.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+        return cells.field("node").to_numpy(), cells.field("label").to_numpy(), sig, bands
+
+    names = ["band", "hash", "i", "j", "side", "node", "label"]
+    for batch in batches:
+        xs, ys = batch.columns[4:]
+        for at in range(batch.num_rows):
+            node, label, x, own = unpack(xs, at)
+            itself = not ys[at].is_valid
+            other, others, y, theirs = (node, label, x, own) if itself else unpack(ys, at)
+            near = label[:, None] != others
+            if not near.any():
+                continue
+            for k in range(batch.column(0)[at].as_py()):
+                near &= own[:, k, None] != theirs[:, k]
+            same = np.zeros(near.shape, np.int8)
+            for a, b in zip(x.T, y.T):
+                same += a[:, None] == b
+            near &= same >= LIKELY
+            a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0)) if not itself else np.zeros(0, int)
+            if len(a):
+                key = [pa.array([batch.column(c)[at].as_py()] * (len(a) + len(b)), pa.int32() if c == 0 else pa.int64()) for c in range(4)]
+                side = pa.array(np.repeat([0, 1], [len(a), len(b)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*key, side, pa.array(np.r_[node[a], other[b]], pa.int64()), pa.array(np.r_[label[a], others[b]], pa.int64())], names=names
+                )
+
+
+def similarities(x: Sequence[tuple], y: Sequence[tuple] | None) -> np.ndarray:
+    """Weighted Jaccard similarity, but for rounding, of each text of ``x`` and each of ``y`` (None: of ``x`` again).
+
+    Texts are (shingles, counts, means). A shingle's weight is its count times a mean that is the same in all
+    texts, so the lesser of two weights adds the mean once for each count that both texts reach: a product of
+    matrices of zeros and ones over (shingle, count).
+    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_back = False
-        for batch in batches:
-            xs, ys = batch.columns
-            for i in range(batch.num_rows):
-                node, label, x = unpack(xs, i)
-                itself = not ys[i].is_valid
-                other, others, y = (node, label, x) if itself else unpack(ys, i)
-                near = label[:, None] != others
-                if not near.any():
-                    continue
-                same = np.zeros(near.shape, np.int8)
-                for a, b in zip(x.T, y.T):
-                    same += a[:, None] == b
-                near &= same >= LIKELY
-                if max(near.sum(axis=0).max(), near.sum(axis=1).max()) > most:
-                    same[~near] = 0
-                    near &= (rank(same) < most) & (rank(same.T).T < most)
-                    held_back = True
-                a, b = np.nonzero(np.triu(near) if itself else near)
-                if len(a):
-                    a, b = node[a], other[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["lead", "node"])
-        if held_back:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["lead", "node"])
-
-    return run
+    def unfold(texts: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        value, count, mean = (np.concatenate([t[i] for t in texts]) for i in range(3))
+        row = np.repeat(np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts]), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        weight = np.repeat(mean, count)
+        return row, mix(np.repeat(value, count) + nth.astype(_U) * _U(0xD6E8FEB86659FD93), 35), weight, np.bincount(row, weight, len(texts))
+
+    rows, keys, weights, sizes = unfold(x)
+    rows2, keys2, _, sizes2 = unfold(y) if y is not None else (rows, keys, weights, sizes)
+    if y is None:
+        shared, seen = np.unique(keys, return_counts=True)
+        shared = shared[seen > 1]
+    else:
+        shared = np.intersect1d(keys, keys2)
+
+    def placed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.searchsorted(shared, keys)
+        own = np.flatnonzero((at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == keys)) if len(shared) else np.zeros(0, int)
+        own = own[np.argsort(at[own], kind="stable")]
+        return at[own], rows[own], own
+
+    at, row, own = placed(rows, keys)
+    at2, row2, _ = placed(rows2, keys2)
+    both = np.zeros((len(sizes), len(sizes2)))
+    for low in range(0, len(shared), FEATURES):
+        wide = min(FEATURES, len(shared) - low)
+        a, b = (slice(*np.searchsorted(k, [low, low + wide])) for k in (at, at2))
+        left, right = np.zeros((len(sizes), wide), np.float32), np.zeros((len(sizes2), wide), np.float32)
+        left[row[a], at[a] - low] = weights[own[a]]
+        right[row2[b], at2[b] - low] = 1
+        both += left @ right.T
+    if y is None:
+        np.fill_diagonal(both, sizes)
+    return both / np.maximum(sizes[:, None] + sizes2 - both, 1e-300)
+
+
+def links_between(x: Sequence[tuple], y: Sequence[tuple] | None, label: np.ndarray, others: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (place in x, place in y) of similarity ``threshold`` at least, as many as connect what all such pairs connect."""
+    like = similarities(x, y)
+    open_pairs = like >= threshold - SLACK
+    if y is None:
+        open_pairs = np.triu(open_pairs, 1)
+        y = x
+    _, root = np.unique(np.r_[label, others], return_inverse=True)
+    out = []
+    while True:
+        open_pairs &= root[: len(x), None] != root[len(x) :]
+        likest = np.where(open_pairs, like, -1.0)
+        for a in np.flatnonzero(open_pairs.any(axis=1)).tolist():
+            for b in np.argsort(-likest[a], kind="stable")[:FIRST].tolist():
+                if not open_pairs[a, b]:
+                    break
+                open_pairs[a, b] = False
+                one, two = root[a], root[len(x) + b]
+                if one != two and weighted_jaccard(*[(t[0], t[1] * t[2]) for t in (x[a], y[b])]) >= threshold:
+                    root[root == two] = one
+                    out.append((a, b))
+        if not open_pairs.any():
+            return out
 
 
 def _idf(parts: DataFrame) -> np.ndarray:
@@ -185,8 +258,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     bucket the least node meets all others, spread over tasks; two nodes are compared if they share
     20 of their 36 samples at least, and only texts that are compared travel. Then the others of a
     bucket meet each other, linked or not, unless they are in one class by now: signatures block
-    against block, in rounds that give the likest pairs of a node first, until none is held back. No
-    bucket is capped. A pair at the threshold shares too few samples about once in 10,000 times, no
+    against block, then the texts of those nodes that have somebody to be compared with, all of a block
+    against all of another in products of matrices. A block gives the links that connect its nodes, never
+    its pairs. No bucket is capped. A pair at the threshold shares too few samples about once in 10,000 times, no
     band about once in 5,000.
     """
     spark = docs.sparkSession
@@ -212,14 +286,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                         sigs[d] = drawn[i].astype("<u2").tobytes()
                     ids = pa.array([None if gone else x for x, gone in zip(part.ids.tolist(), part.null)], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["part"]] * len(lists), pa.int64()), ids, pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                        names=["part", "doc_id", "k1", "k2", "bands", "sig"],
+                        [
+                            pa.array([row["part"]] * len(lists), pa.int64()), ids, pa.array(key[:, 0]), pa.array(key[:, 1]),
+                            pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array([len(b) for b in part.bodies], pa.int64()),
+                        ],
+                        names=["part", "doc_id", "k1", "k2", "bands", "sig", "size"],
                     )
 
-        signed = settle(parts.mapInArrow(sign, "part long, doc_id long, k1 long, k2 long, bands array<long>, sig binary"))
+        signed = settle(parts.mapInArrow(sign, "part long, doc_id long, k1 long, k2 long, bands array<long>, sig binary, size long"))
     known = signed.where("doc_id is not null")
-    nodes = settle(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "part", "bands", "sig")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("node"), "x.part", "x.bands", "x.sig"))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    nodes = settle(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "part", "bands", "sig", "size")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("node"), "x.part", "x.bands", "x.sig", "x.size"))
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash"))
     leaders = members.groupBy("band", "hash").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(members.join(leaders, ["band", "hash"]))
 
@@ -277,45 +354,61 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     def across(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several classes, in blocks of about BLOCK; a bucket's lead has met all of it."""
         rest = settle(
-            members.where("node <> lead").join(labels, "node", "left").select("band", "hash", "node", F.coalesce("label", "node").alias("label"))
+            members.where("node <> lead").join(labels, "node", "left").select("band", "hash", "node", "size", F.coalesce("label", "node").alias("label"))
         )
-        mixed = rest.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-        mixed = mixed.where("low < high").select("band", "hash", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        cells = rest.join(mixed, ["band", "hash"]).join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        return settle(cells.groupBy("band", "hash", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "sig")).alias("x")))
+        mixed = rest.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_BYTES))
+        mixed = mixed.where("low < high").select("band", "hash", F.greatest(blocks, F.lit(1)).alias("blocks"))
+        cells = rest.drop("size").join(mixed, ["band", "hash"]).join(nodes.select("node", "sig", "bands"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return settle(cells.groupBy("band", "hash", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "sig", "bands")).alias("x")))
 
     def meetings(blocks: DataFrame) -> DataFrame:
-        """x, y: each block with itself (y is null), and each two blocks of a bucket."""
-        own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+        """band, hash, i, j, x, y: each block with itself (y is null), and each two blocks of a bucket."""
+        own = blocks.select("band", "hash", F.col("block").alias("i"), F.col("block").alias("j"), "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
         several = blocks.where("blocks > 1")
         if several.isEmpty():
             return own
         one = several.where("block + 1 < blocks").select("band", "hash", F.col("block").alias("i"), F.expr("explode(sequence(block + 1, blocks - 1))").alias("j"), "x")
         two = several.where("block > 0").select("band", "hash", F.expr("explode(sequence(0L, block - 1))").alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
-        return own.unionByName(one.join(two, ["band", "hash", "i", "j"]).select("x", "y"))
+        return own.unionByName(one.join(two, ["band", "hash", "i", "j"]))
+
+    def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
+
+        def text(body: bytes) -> tuple:
+            tok = _SPEC.tokens([plain(body)])[0]
+            return counted(tok, np.array([len(tok)]), idf.value)[1:]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = batch.column(0)[i].values
+                side, node, label = (cells.field(f).to_numpy() for f in ("side", "node", "label"))
+                texts = [text(b.as_py()) for b in cells.field("body")]
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                y = y if len(y) else x
+                found = links_between([texts[k] for k in x], [texts[k] for k in y] if y is not x else None, label[x], label[y], threshold)
+                ends = np.array([(node[x[a]], node[y[b]]) for a, b in found], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1, initial=2**63 - 1)), pa.array(ends.max(axis=1, initial=-(2**63)))], names=["lead", "node"])
 
-    sigs = nodes.select("node", "sig")
     sigs = nodes.select("node", "sig")
     pairs = members.where("node <> lead").select("lead", "node").distinct().join(sigs.withColumnRenamed("sig", "y"), "node").join(
         sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead"
     )
     close = settle(pairs.select("lead", "node", "x", "y").mapInArrow(likely, "lead long, node long"))
-    labels, tried, most = components(judge(close)), close, FIRST
+    labels = components(judge(close))
     blocks = across(labels)
-    while not blocks.isEmpty():
-        with conf_during(spark, {_ARROW: "256"}):
-            met = settle(meetings(blocks).mapInArrow(meet(most), "lead long, node long"))
-        new = settle(met.where("lead is not null").distinct().join(tried, ["lead", "node"], "left_anti"))
-        held_back = not met.where("lead is null").isEmpty()
-        discard(blocks, met)
-        if not new.isEmpty():
-            more = judge(new)
-            if not more.isEmpty():
-                labels = merge(labels, more)
-        if not held_back:
-            break
-        tried, most = tried.unionByName(new), most * 8
-        blocks = across(labels)
+    with conf_during(spark, {_ARROW: "256"}):
+        met = settle(meetings(blocks).select("band", "hash", "i", "j", "x", "y").mapInArrow(meet, "band int, hash long, i long, j long, side int, node long, label long"))
+    discard(blocks)
+    if not met.isEmpty():
+        bodies = texts_of(met.select("node").distinct())
+        grouped = met.join(bodies, "node").groupBy("band", "hash", "i", "j").agg(F.collect_list(F.struct("side", "node", "label", "body")).alias("x"))
+        with conf_during(spark, {_ARROW: "4"}):
+            more = settle(grouped.select("x").mapInArrow(connect, "lead long, node long"))
+        discard(bodies)
+        if not more.isEmpty():
+            labels = merge(labels, more.distinct())
+    discard(met)
     discard(parts)
     classed = nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return known.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("doc_id", "class_id").unionByName(

@@ -284,6 +284,56 @@ def test_links_of_linked_nodes(spark, monkeypatch, sizes):
     assert dict(minhash.near_duplicates(docs).collect()) == true
 
 
+def test_similarities_of_blocks(monkeypatch):
+    """All pairs of two blocks at once, with words that repeat; the links connect what all pairs connect."""
+    monkeypatch.setattr(minhash, "FEATURES", 50)
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghij") for _ in range(120)]
+    tok = [minhash._SPEC.tokens([" ".join(rng.choice("klm") if rng.random() < i / 200 else w for w in base * (1 + i % 2)).encode()])[0] for i in range(30)]
+    tok += [tok[0][:3], tok[0][:3], tok[0][:0], tok[0][:0]]
+    idf = (np.arange(minhash.BUCKETS) % 7 + 1).astype(np.float32)
+    texts = [minhash.counted(w, np.array([len(w)]), idf)[1:] for w in tok]
+    assert max(t[1].max(initial=0) for t in texts) > 1
+    true = np.array([[minhash.weighted_jaccard((a[0], a[1] * a[2]), (b[0], b[1] * b[2])) for b in texts] for a in texts])
+    assert np.abs(minhash.similarities(texts[:20], texts[20:]) - true[:20, 20:]).max() < 1e-5
+    assert np.abs(np.triu(minhash.similarities(texts, None) - true, 1)).max() < 1e-5
+    label = np.arange(len(texts))
+
+    def classes(pairs):
+        out = label.copy()
+        for a, b in pairs:
+            out[out == out[b]] = out[a]
+        return {tuple(np.flatnonzero(out == k)) for k in out}
+
+    whole = minhash.links_between(texts, None, label, label, 0.6)
+    assert classes(whole) == classes(np.argwhere(np.triu(true >= 0.6, 1)))
+    assert all(true[a, b] >= 0.6 for a, b in whole) and len(whole) < len(texts)
+    two = [(a, b + 20) for a, b in minhash.links_between(texts[:20], texts[20:], label[:20], label[20:], 0.6)]
+    assert classes(two) == classes([(a, b) for a, b in np.argwhere(true >= 0.6) if a < 20 <= b])
+
+
+def test_copies_that_are_not_linked_are_not_paired(spark, monkeypatch):
+    """A group of edited copies below the threshold: what is moved grows with its members, not with its pairs."""
+    rng, made = random.Random(2), {}
+    base = [f"w{i}" for i in range(400)]
+    edits = [set(rng.sample(range(5, 390), 5)) for _ in range(120)]
+    texts = [(i, " ".join(f"x{rng.randrange(10**9)}" if k in own else w for k, w in enumerate(base))) for i, own in enumerate(edits)]
+    true, likeness = linked_classes(texts)
+    assert sum(x < 0.8 for x in likeness.values()) > 6_000
+    settle = minhash.settle
+
+    def count(df, *more):
+        out = settle(df, *more)
+        if {"lead", "node"} <= set(out.columns):
+            made[len(made)] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "settle", count)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert dict(minhash.near_duplicates(docs).collect()) == true
+    assert max(made.values()) <= 12 * len(texts)
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(4)
     value = rng.integers(0, 2**63, 400).astype(np.uint64)
