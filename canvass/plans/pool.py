@@ -50,7 +50,12 @@ def misrouted(rules: Sequence[RoutingRule]) -> Column:
 
 
 def drop_misrouted(candidates: DataFrame, rules: Sequence[RoutingRule]) -> DataFrame:
-    return candidates.where(~misrouted(rules)) if rules else candidates
+    """Candidates that break no rule. The outer explode keeps Spark from pushing the rules below the projection
+    that makes the cells, where every use of a cell in a rule would make it again."""
+    if not rules:
+        return candidates
+    flag = f"__misrouted{len(candidates.columns)}"
+    return candidates.select("*", F.explode_outer(F.array(misrouted(rules))).alias(flag)).where(~F.col(flag)).drop(flag)
 
 
 @dataclass(frozen=True)

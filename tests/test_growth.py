@@ -85,3 +85,10 @@ def test_cells_are_read_once_per_target(spark):
     takes = signed.groupBy(*names).agg(F.count(F.lit(1)).alias("take"))
     plan = signed.join(F.broadcast(takes), names)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan
+
+
+def test_routing_rules_read_made_cells(spark):
+    """Cells that are made by a projection are made once, not again for every use in a rule."""
+    plan = QUERIES["flt13"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("StructsToJson" not in line for line in plan.splitlines() if "Filter" in line)
+    assert plan.count("StructsToJson") <= 4
