@@ -178,17 +178,14 @@ def type_answers(parsed: DataFrame, index: DataFrame) -> DataFrame:
     rows = rows.withColumn("choice_texts", choice_texts).withColumn(
         "flat_keys", label_keys(F.flatten("choice_texts"))
     )
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size("known")),
-        lambda i: F.aggregate(F.slice("choice_texts", F.lit(1), i), F.lit(0), lambda acc, t: acc + F.size(t)),
-    )
-    rows = rows.withColumn("starts", starts)
+    # Summed in place: Spark would put an array of all starts into the lambda below and make it once for each answer.
+    start = lambda i: F.aggregate(F.slice("choice_texts", F.lit(1), i), F.lit(0), lambda acc, t: acc + F.size(t))
     keyed = F.transform(
         "known",
         lambda e, i: F.struct(
             e["question_id"].alias("question_id"), e["texts"].alias("texts"), e["files"].alias("files"),
             e["spec"].alias("spec"),
-            F.slice("flat_keys", F.get("starts", i) + 1, F.size(F.get("choice_texts", i))).alias("keys"),
+            F.slice("flat_keys", start(i) + 1, F.size(F.get("choice_texts", i))).alias("keys"),
         ),
     )
     rows = rows.withColumn("picked", F.transform(keyed, _picked)).withColumn("typed", F.transform("picked", _typed))

@@ -92,3 +92,8 @@ def test_routing_rules_read_made_cells(spark):
     plan = QUERIES["flt13"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert all("StructsToJson" not in line for line in plan.splitlines() if "Filter" in line)
     assert plan.count("StructsToJson") <= 4
+
+
+def test_answer_starts_are_summed_in_place(spark):
+    """No array of all starts, which was made once for each answer of a response."""
+    assert "sequence(" not in QUERIES["src05"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
