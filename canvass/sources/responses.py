@@ -115,38 +115,41 @@ def _typed(entry: Column) -> Column:
     ordinal = parse_ordinal(first, spec["min"], spec["max"])
     date = parse_date(first, F.coalesce(spec["include_year"], F.lit(False)), F.coalesce(spec["include_time"], F.lit(False)))
     clock = parse_time(first, F.coalesce(spec["duration"], F.lit(False)))
-    error = (
-        F.when(kind == "single_choice", F.when(F.size(texts) == 0, "no_choice").otherwise(
-            F.when(pick["ambiguous"], "ambiguous_option").when(pick["option_key"].isNull(), "unknown_option")))
-        .when(kind == "multi_choice", F.coalesce(
-            choice_error,
-            F.when(F.size(other_values) > 1, "several_other_values"),
-            F.when(F.size(F.array_distinct(option_keys)) != F.size(option_keys), "repeated_option")))
-        .when(kind == "ordinal", F.coalesce(ordinal["error"], F.when(first.isNull(), "invalid_ordinal")))
-        .when(kind == "date", F.coalesce(date["error"], F.when(first.isNull(), "invalid_date")))
-        .when(kind == "time", F.coalesce(clock["error"], F.when(first.isNull(), "invalid_time")))
-        .when(kind == "file", F.when(F.exists(entry["files"], _nameless), "invalid_file"))
-    )
-    single, multi = kind == "single_choice", kind == "multi_choice"
     file_names = F.transform(
         entry["files"], lambda f: F.coalesce(f["file_name"], f["mime_type"], F.lit("file"))
     )
-    typed = slot(
-        question_id=entry["question_id"], kind=kind, state=F.lit(ANSWERED),
-        option_key=F.when(single, pick["option_key"]),
-        label=F.when(single, first),
-        other_value=F.when(single, pick["other_value"]).when(multi, F.get(other_values, F.lit(0))),
-        option_keys=F.when(multi, option_keys),
-        labels=F.when(multi, texts),
-        score=F.when(kind == "ordinal", ordinal["value"]),
-        text=F.when(kind == "text", F.array_join(texts, "\n")).when(kind.isin("date", "time"), first),
-        files=F.when(
-            kind == "file",
-            F.transform(entry["files"], lambda f: F.struct(f["file_name"].alias("file_name"), f["mime_type"].alias("mime_type"))),
-        ),
-        values=F.when(kind == "unsupported", F.concat(texts, file_names)),
+
+    def typed(error: Column | None = None, **fields: Column) -> Column:
+        own = slot(question_id=entry["question_id"], kind=kind, state=F.lit(ANSWERED), **fields)
+        return F.struct((F.lit(None) if error is None else error).cast("string").alias("error"), own.alias("slot"))
+
+    # The kind is asked for once: inside a lambda every condition is interpreted for every answer.
+    return (
+        F.when(kind == "single_choice", typed(
+            F.when(F.size(texts) == 0, "no_choice").otherwise(
+                F.when(pick["ambiguous"], "ambiguous_option").when(pick["option_key"].isNull(), "unknown_option")),
+            option_key=pick["option_key"], label=first, other_value=pick["other_value"],
+        ))
+        .when(kind == "multi_choice", typed(
+            F.coalesce(
+                choice_error,
+                F.when(F.size(other_values) > 1, "several_other_values"),
+                F.when(F.size(F.array_distinct(option_keys)) != F.size(option_keys), "repeated_option")),
+            other_value=F.get(other_values, F.lit(0)), option_keys=option_keys, labels=texts,
+        ))
+        .when(kind == "ordinal", typed(
+            F.coalesce(ordinal["error"], F.when(first.isNull(), "invalid_ordinal")), score=ordinal["value"],
+        ))
+        .when(kind == "text", typed(text=F.array_join(texts, "\n")))
+        .when(kind == "date", typed(F.coalesce(date["error"], F.when(first.isNull(), "invalid_date")), text=first))
+        .when(kind == "time", typed(F.coalesce(clock["error"], F.when(first.isNull(), "invalid_time")), text=first))
+        .when(kind == "file", typed(
+            F.when(F.exists(entry["files"], _nameless), "invalid_file"),
+            files=F.transform(entry["files"], lambda f: F.struct(f["file_name"].alias("file_name"), f["mime_type"].alias("mime_type"))),
+        ))
+        .when(kind == "unsupported", typed(values=F.concat(texts, file_names)))
+        .otherwise(typed())
     )
-    return F.struct(error.alias("error"), typed.alias("slot"))
 
 
 def type_answers(parsed: DataFrame, index: DataFrame) -> DataFrame:

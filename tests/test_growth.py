@@ -97,3 +97,9 @@ def test_routing_rules_read_made_cells(spark):
 def test_answer_starts_are_summed_in_place(spark):
     """No array of all starts, which was made once for each answer of a response."""
     assert "sequence(" not in QUERIES["src05"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kind_of_an_answer_is_asked_once(spark):
+    """Conditions inside a lambda are interpreted for every answer, so fields do not ask for the kind again one by one."""
+    plan = QUERIES["src05"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"spec.kind = {kind})") == 1 for kind in ("single_choice", "multi_choice", "ordinal", "text", "file"))
