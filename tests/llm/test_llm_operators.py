@@ -92,6 +92,35 @@ def test_encoder_equals_library():
         assert Encoder(public_path(name), limit=500)(texts, 7) == want
 
 
+def test_encoder_on_words_and_marks():
+    """What is put together from letters, marks and white space; the memory starting anew; other letters and white space."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    pieces = ["a", "Foo", "don", "'s", "’s", "É", "ß", "İ", "ſ", "K", "ŉ", "Ÿ", "ž", "ƀ", "ΑΣ", "H\u0331", "A\u0301", "12", "½", "ª", "×", "÷", "***", "...", ",", "Ж", "中文", "é" * 11, "a" * 23, "b" * 24, "c" * 1100]
+    texts = ["".join("".join(rng.choices(pieces, k=rng.choice([1, 2, 3]))) + rng.choice([" ", " ", " ", "\n", " \n", "\n\n"]) for _ in range(rng.choice([1, 4, 12])))[:-1] for _ in range(6000)]
+    texts += ["_\n\n\u3000 ", "x\n\n\t\ny", "x \n\xa0 y", "  ", "\n", None]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_path(name))
+        want = [np.array(x.ids + [7], "<u4").tobytes() for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        for limit, lot in ((500_000, 500), (100, 7)):
+            encode = Encoder(public_path(name), limit=limit)
+            assert [x for at in range(0, len(texts), lot) for x in encode(texts[at : at + lot], 7)] == want
+
+
+def test_encoder_sends_words_past_the_patterns():
+    """New words, also with marks after them, cost the model alone; the tokenizer's patterns see little but the marks."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices(["er", "on", "lich", "ä", "que", "Th", "ung", "s"], k=rng.randint(2, 5))) for _ in range(5000)]
+    texts = [" ".join(w + rng.choice(["", "", ",", ".", "***", "!!"]) for w in words)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode, seen = Encoder(public_path(name)), []
+        call = encode._encode_chunks
+        encode._encode_chunks = lambda chunks: seen.extend(chunks) or call(chunks)
+        assert encode(texts, 7) == [encode._encode(texts)[0] + (7).to_bytes(4, "little")]
+        assert len(seen) <= 4
+
+
 @pytest.mark.parametrize("fan_in", [2])
 def test_packing(odd, none, fan_in):
     rows = packing.pack(odd, fan_in=fan_in).collect()
