@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.common import conf_during, discard, free_prefix, settle, shuffle_parts, small_batches
-from canvass.llm.repeats import _ARROW, ByteWindows, WordWindows, mix, open_part, write_parts
+from canvass.llm.repeats import _ARROW, ByteWindows, HashedWords, mix, open_part, write_parts
 
 WORDS = 5
 BANDS, ROWS = 12, 3
@@ -30,7 +30,7 @@ SLACK = 1e-3  # more than the rounding of similarities that are added up in sing
 FEATURES = 2048  # shingles that are added up at once
 BUCKETS = 1 << 18
 _U = np.uint64
-_SPEC, _BYTES = WordWindows(), ByteWindows()
+_SPEC, _BYTES = HashedWords(), ByteWindows()
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ and every document of the shard is streamed through it to locate every occurrenc
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,7 @@ def _finish(length: int):
     def finish(part: Part, hits: Hits) -> pa.RecordBatch:
         word = np.unique(part.tok, return_inverse=True)[1] + 1 if len(part.tok) else part.tok.astype(np.int64)
         # A passage whose first document is the greatest id here can remove nothing.
+        hits = hits.passages()
         useful = hits.first < (part.ids[~part.null].max() if (~part.null).any() else 0)
         automaton = _compile(word, Hits(hits.start[useful], hits.count[useful], hits.first[useful], hits.doc[useful]), length)
         starts, ends = [], []
@@ -46,16 +48,15 @@ def _finish(length: int):
                 if first < doc:
                     starts.append(a + end - n + 1), ends.append(a + end + 1)
         gone = covered(part, np.array(starts, np.int64), np.array(ends, np.int64))
+        n_gone = np.r_[0, np.cumsum(gone)]
         out = []
         for i, (a, b) in enumerate(zip(part.starts.tolist(), part.ends.tolist())):
-            cut = gone[a:b]
-            words = part.bodies[i].split()
-            kept = [w for w, c in zip(words, cut.tolist()) if not c]
-            edge = np.flatnonzero(np.diff(np.r_[0, cut.astype(np.int8), 0]))
-            out.append((
-                None if part.null[i] else int(part.ids[i]), b - a, int(cut.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(),
-                [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)],
-            ))
+            kept, spans, n = part.bodies[i].split(), [], int(n_gone[b] - n_gone[a])
+            if n:
+                kept = compress(kept, (~gone[a:b]).tolist())
+                edge = np.flatnonzero(np.diff(np.r_[0, gone[a:b].astype(np.int8), 0])).tolist()
+                spans = [{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2])]
+            out.append((None if part.null[i] else int(part.ids[i]), b - a, n, hashlib.sha256(b" ".join(kept)).hexdigest(), spans))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 

@@ -8,13 +8,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from canvass.llm.common import SHORT, short_keys
+
 _SPACE, _BREAK = 32, 10
-_SHORT = 23  # bytes of a chunk that fit a table row beside its length
 _LONG = 1024  # bytes of a chunk that is worth remembering
 _GROUP = 1 << 19  # bytes of texts that are looked up at once
 _WHOLE = (1 << 64) - 1
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
-_MASKS = np.array([[(1 << 8 * min(8, max(0, n - at))) - 1 for n in range(_SHORT + 1)] for at in (0, 8, 16)], np.uint64)
 _CODE = np.arange(256)
 _LATIN = ((_CODE | 32) >= ord("a")) & ((_CODE | 32) <= ord("z")) & (_CODE < 128)
 _MARK = (_CODE > 32) & (_CODE < 127) & ~_LATIN & ~((_CODE >= ord("0")) & (_CODE <= ord("9")))
@@ -85,16 +85,6 @@ class _Memory:
         return first.astype(np.uint64) << _HALF | count.astype(np.uint64)
 
 
-def _keys(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of short chunks as three numbers, the length in the last one's highest byte; ``raw`` has 24 bytes more."""
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
-    out = np.empty((len(at), 3), np.uint64)
-    for i in range(3):
-        out[:, i] = eight[at + 8 * i] & _MASKS[i][size]
-    out[:, 2] |= size.astype(np.uint64) << np.uint64(56)
-    return out
-
-
 def _letters(byte: np.ndarray) -> np.ndarray:
     """Bytes of ASCII letters and of letters up to U+017E that lower case leaves as long as they are."""
     before = np.r_[np.uint8(0), byte[:-1]]
@@ -233,9 +223,9 @@ class Encoder:
     def _look(self, raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Places of the chunks of ``raw``; those not known are learnt."""
         out = np.zeros(len(at), np.uint64)
-        fits = size <= _SHORT
+        fits = size <= SHORT
         short = np.flatnonzero(fits)
-        keys = _keys(raw, at[short], size[short])
+        keys = short_keys(raw, at[short], size[short])
         out[short], gone = self.memory.find(keys)
         new = short[gone]
         if len(new):

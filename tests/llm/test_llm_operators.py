@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.llm import factor_machine, minhash, mixing, packing, phrases, quality_rules, suffix_dedup, token_files, topk, transcripts
+from canvass.llm import factor_machine, minhash, mixing, packing, phrases, quality_rules, repeats, suffix_dedup, token_files, topk, transcripts
 from canvass.llm.common import table
 from canvass.llm.token_ids import Encoder, public_path
 
@@ -108,6 +108,42 @@ def test_encoder_on_words_and_marks():
             assert [x for at in range(0, len(texts), lot) for x in encode(texts[at : at + lot], 7)] == want
 
 
+def test_words_are_hashed_at_once(monkeypatch):
+    """Equal hashes for equal words only, cut as a bytes split cuts; no short word is digested by itself."""
+    rng = random.Random(8)
+    pieces = [b" ", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\xc2\x85", b"a", b"b", b"\x00", "é".encode(), b"\xff", b"x" * 11]
+    bodies = [b"".join(rng.choices(pieces, k=rng.choice([0, 1, 2, 5, 20]))) for _ in range(3000)]
+    long = repeats.WordWindows().tokens([b"", b"y" * 22, b"y" * 23, b"y" * 24, b"y" * 25 + b" " + b"y" * 24, b""])
+    assert [len(x) for x in long] == [0, 1, 1, 1, 2, 0] and len({*long[1], *long[2], *long[3], *long[4]}) == 4
+    bodies = [b for b in bodies if max(map(len, b.split()), default=0) < 24]
+    monkeypatch.setattr(repeats.xxhash, "xxh3_64_intdigest", None)
+    of: dict[bytes, int] = {}
+    for body, tok in zip(bodies, repeats.WordWindows().tokens(bodies), strict=True):
+        assert [of.setdefault(w, x) for w, x in zip(body.split(), tok.tolist(), strict=True)] == tok.tolist()
+    assert len(set(of.values())) == len(of) and repeats.WordWindows().tokens([]) == []
+
+
+def test_passages_are_compiled_as_one(monkeypatch):
+    """A copied document of 600 words is a few passages to the automaton, not one per anchor."""
+    rng = random.Random(9)
+    body = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600)).encode()
+    spec, bodies = repeats.WordWindows(), [body, b"tail " + body, b"", body + b" " + body]
+    toks = spec.tokens(bodies)
+    part = repeats.Part(np.array([5, 3, 4, 9]), np.zeros(4, bool), bodies, np.concatenate(toks), np.cumsum([len(t) for t in toks]))
+    found = repeats.segments(part, spec)
+    windows = Counter()
+    for a, n in zip(found.start, found.count):
+        windows.update(tuple(part.tok[i : i + 13]) for i in range(a, a + n))
+    keep = [i for i, (a, n) in enumerate(zip(found.start, found.count)) if min(windows[tuple(part.tok[j : j + 13])] for j in range(a, a + n)) > 1]
+    hits = repeats.Hits(found.start[keep], found.count[keep], np.full(len(keep), 3), found.doc[keep])
+    compiled, call = [], phrases._compile
+    monkeypatch.setattr(phrases, "_compile", lambda word, hits, length: compiled.append(len(hits.start)) or call(word, hits, length))
+    rows = {r["doc_id"]: r for r in phrases._finish(13)(part, hits).to_pylist()}
+    assert len(keep) > 100 and compiled[0] <= 4 * 4
+    assert [rows[i]["n_removed"] for i in (3, 4, 5, 9)] == [0, 0, 600, 1200]
+    assert rows[9]["spans"] == [{"start": 0, "end": 1200}] and rows[9]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_encoder_sends_words_past_the_patterns():
     """New words, also with marks after them, cost the model alone; the tokenizer's patterns see little but the marks."""
     rng = random.Random(3)
